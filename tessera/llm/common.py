@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["shared_dir", "materialize", "free_shuffles", "fold_of", "documents", "with_row", "hot_join", "chunked"]
+__all__ = ["shared_dir", "materialize", "discard", "free_shuffles", "fold_of", "documents", "with_row", "hot_join", "chunked"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,11 +41,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
     del df
     free_shuffles(spark)
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that no plan still to be run reads."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._tessera_path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def fold_of(id_col: Column, folds: int = 5) -> Column:
     """crc32 of the id's decimal text modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
