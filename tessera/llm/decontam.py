@@ -33,7 +33,8 @@ def windows(items: DataFrame, size: int = 8, id_col: str = "item_id", text_col:
 
 
 def find(docs: DataFrame, items: DataFrame, size: int = 8, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row for each row of docs.
+    """(rid, doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row for each row of docs; rid is its number in
+    the table.
 
     Null text has no words; null and repeated ids give a row each; other columns are ignored; without items nothing
     is hit. Windows of up to broadcast_bytes are broadcast; more are joined by shuffle on the prefix word, with each
@@ -71,8 +72,8 @@ def find(docs: DataFrame, items: DataFrame, size: int = 8, least_items: int = 2,
         F.collect_set(F.when(~F.col("last"), F.col("items"))).alias("items"),
     )
     hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))
-    out = by_doc.select("doc_id", "n_words", F.size(hit).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("ids"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.size("ids") >= least_items).alias("contaminated"))
+    out = by_doc.select("rid", "doc_id", "n_words", F.size(hit).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("ids"))
+    return out.select("rid", "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.size("ids") >= least_items).alias("contaminated"))
 
 
 def sql(size: int = 8, least_items: int = 2) -> str:

@@ -189,7 +189,8 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int, small: int
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", heavy: int = 100_000) -> DataFrame:
-    """(rid, doc_id, n_shingles, component_id), one row for each row of docs; rid is the row's number in the table.
+    """(rid, doc_id, n_shingles, component_id, root), one row for each row of docs; rid is the row's number in the
+    table, root that of a row which stands for the component.
 
     Words are runs without ASCII white space, A-Z lower-cased; a set is a text's distinct k-word shingles, as 64-bit
     hashes. Null, empty and blank texts have none and link with nothing; repeated rows are one class; of a component
@@ -238,7 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
 
     whole = classes.join(roots, classes.rep == roots.node, "left").select("key", "least", "copies", F.coalesce("root", "rep").alias("root"))
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(whole.join(least, "root").select("key", "copies", "component_id"), "components")
+    named = materialize(whole.join(least, "root").select("key", "copies", "component_id", "root"), "components")
     full = sets.where("n > 0").select("rid", "doc_id", "n", "key")
-    linked = hot_join(full, named, "key", "copies", sets.count()).select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(sets.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    linked = hot_join(full, named, "key", "copies", sets.count()).select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "root")
+    return linked.unionByName(sets.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("root")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, lm, packing, substring, token_counts, toxicity, url_filter, warc
+from . import decontam, jaccard, lm, media, packing, substring, token_counts, toxicity, url_filter, warc
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = documents(spark, sf_dir, "labels").select("doc_id", "toxic")
     return toxicity.score(documents(spark, sf_dir), labels).drop("evidence")
@@ -32,7 +36,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return decontam.find(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("rid")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(documents(spark, sf_dir)).drop("rid")
+    return jaccard.near_duplicates(documents(spark, sf_dir)).drop("rid", "root")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,3 +224,15 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_
 
     out = rows.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id string, cosine double, toxic long, other long>>")
     return out.select("doc_id", (fold_of(F.col("doc_id"), folds) == held).alias("held_out"), "score", "predicted", "evidence")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is under the threshold."""
+    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col, **how))
+    at = docs.columns.index(text_col)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([index.value.score(t or "")[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(sift, docs.schema)
