@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The index holds a bounded, hash-ordered sample of labelled training rows (`per_class` of each label). Terms are words
-and word beginnings whose counts differ between the labels (chi-square at least `chi`); a row's vector is its terms'
+and word beginnings whose counts differ between the labels (chi-square at least `chi`, near copies counted once); a row's vector is its terms'
 TF-IDF at length 1. Equal vectors are one entry with the counts of both labels. Entries are ordered so that alike ones
 share a block, and each block keeps the greatest weight of every term in it: a document's terms times these bound
 the cosine with any entry of the block, blocks are visited by falling bound, and the search ends, exactly, when the
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, with_row
+from .shingles import Hashes, shingle_set
 
 BLANKS = str.maketrans("\t\n\r", "   ")
 LETTERS = re.compile(r"\w+")
@@ -61,19 +62,39 @@ class Terms(dict):
         return tuple(sorted(seen.items()))
 
 
+def distinct(texts: list[str], k: int = 4) -> list[int]:
+    """One text of each group of near copies (a shared least shingle by one of eight orders): a text that is copied a
+    hundred times says no more about its words than one does."""
+    seen: set[tuple[int, int]] = set()
+    hashes, out = Hashes(), []
+    for i, t in enumerate(texts):
+        x = shingle_set(hashes.of(t.encode().split()), k)
+        least = [(j, int((x * np.uint64(2 * j + 1) ^ (x >> np.uint64(j + 7))).min())) for j in range(8)] if len(x) else [(-1, 0)]
+        if not seen.intersection(least):
+            out.append(i)
+        seen.update(least)
+    return out
+
+
 class Index:
     """Entries with counts of both labels, and postings by block."""
 
     def __init__(self, texts: list[str], toxic: list[int], ids: list, weight: tuple[float, float], chi: float, most_terms: int, k: int):
         self.k, self.weight = k, weight
         n = len(texts)
-        y = np.array(toxic, "i8") if n else np.zeros(0, "i8")
         df: tuple[Counter, Counter] = (Counter(), Counter())
-        for t, label in zip(texts, toxic):
-            df[label].update({x for c in set(t.translate(BLANKS).split(" ")) for x in terms(c)})
-        n1 = int(y.sum())
-        n0 = n - n1
-        good = []
+        memo: dict[str, list[str]] = {}
+        own = distinct(texts)
+        for t, label in ((texts[i], toxic[i]) for i in own):
+            bag: set[str] = set()
+            for c in set(t.translate(BLANKS).split(" ")):
+                if (got := memo.get(c)) is None:
+                    got = memo[c] = terms(c)
+                bag.update(got)
+            df[label].update(bag)
+        memo.clear()
+        n1 = sum(toxic[i] for i in own)
+        n, n0, good = len(own), len(own) - n1, []
         if n0 and n1:
             for t in df[0].keys() | df[1].keys():
                 a, b = df[1][t], df[0][t]
@@ -96,7 +117,8 @@ class Index:
             else:
                 bare[label] += 1
         w0, w1 = weight
-        prior = n1 * w1 / (n0 * w0 + n1 * w1) if n else 0.5
+        y1 = sum(toxic)
+        prior = y1 * w1 / ((len(toxic) - y1) * w0 + y1 * w1) if toxic else 0.5
         self.base = (bare[1] * w1 + prior) / (bare[0] * w0 + bare[1] * w1 + 1)
         # entries of the same rarest term lie together
         keys = sorted(groups, key=lambda key: (max((self.idf[t], t) for t, _ in key)[1], key))
@@ -188,7 +210,7 @@ class Index:
         return got
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = 4000, chi: float = 15.0, most_terms: int = 4096, k: int = 15, id_col: str = "doc_id", text_col: str = "text") -> Index:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = 3000, chi: float = 20.0, most_terms: int = 4096, k: int = 15, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """An index of at most per_class rows of either label, those whose ids hash lowest; labels: (doc_id, toxic)."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     train = rows.where(fold_of(F.col("doc_id"), folds) != held)
