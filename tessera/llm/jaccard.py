@@ -7,9 +7,10 @@ within the size band are met, and 256-bit parity signatures bound the overlap fr
 signatures differ are no more than the elements in which the sets differ). What passes is verified on the sorted
 arrays of 64-bit shingles.
 
-Components alone are asked for, so large groups of near copies are not paired out: first each class is verified
-against its neighbours in its tiles (two at most), and components of these links are labelled; then tiles that hold
-more than one label are searched in full for pairs of different labels, all of which are verified.
+Components alone are asked for, so large groups of near copies are not paired out. In each of `rounds` turns a class
+is verified against the two of its tiles' classes that seem nearest and have another label, and the components of all
+links so far become the labels; then tiles that hold more than one label are searched in full for pairs of different
+labels, all of which are verified.
 """
 
 from __future__ import annotations
@@ -75,43 +76,43 @@ def frequent(rows: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray
     return x[order], (len(x) - np.arange(len(x)))[order]
 
 
-def neighbours(tiles: DataFrame, percent: int) -> DataFrame:
-    """(a, b) for each row of a tile and the row before it, and the tile's first row, if a link is possible."""
+def nearest(tiles: DataFrame, percent: int, reach: int = 8) -> DataFrame:
+    """(x, y, d): for each row of a tile the one of another label, of `reach` rows before and after it, that may link
+    with it and whose signature differs in the fewest bits. Rows of equal size lie in another order in each tile, so
+    a class meets many others, however large its group is."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None  # the last row and the first row of its tile
+        kept = None
         for b in batches:
-            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
             if kept is not None:
                 c = [np.concatenate((k, x)) for k, x in zip(kept, c)]
-            token = c[0]
-            at = np.arange(len(token))
-            new = np.concatenate(([True], token[1:] != token[:-1]))
-            first = np.maximum.accumulate(np.where(new, at, 0))
-            out = []
-            skip = 2 if kept is not None else 0
-            for other in (np.maximum(at - 1, 0), first):
-                ok = ~new & (at >= skip) & (other < at)
-                out.append(possible(c, at[ok], other[ok], percent))
-            a, z = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-            kept = [x[[first[-1], len(x) - 1]] for x in c]
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(z)})
-
-    return tiles.mapInArrow(meet, "a long, b long")
-
-
-def possible(c: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i and j (of one tile) that may link, as (greater, less) ids: size band, position, bitmap bound."""
-    _, rid, n, pos, *sig = c
+            n = len(c[0])
+            best, who = np.full(n, BITS + 1), np.full(n, -1)
+            for o in range(1, min(reach, n - 1) + 1):
+                i = np.flatnonzero((c[0][o:] == c[0][:-o]) & (c[8][o:] != c[8][:-o])) + o
+                i, j, d = possible(c, i, i - o, percent)
+                for p, q in ((i, j), (j, i)):
+                    less = d < best[p]
+                    best[p[less]], who[p[less]] = d[less], q[less]
+            at = np.flatnonzero(who >= 0)
+            kept = [x[-reach:] for x in c]
+            yield pa.RecordBatch.from_pydict({"x": pa.array(c[1][at]), "y": pa.array(c[1][who[at]]), "d": pa.array(best[at])})
+
+    return tiles.mapInArrow(meet, "x long, y long, d long")
+
+
+def possible(c: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the row pairs (i, j) of a tile that may link by size band, position and bitmap bound, and the bits in
+    which their signatures differ."""
+    n, pos = c[2], c[3]
     ni, nj = n[i], n[j]
-    lo, hi = np.minimum(ni, nj), np.maximum(ni, nj)
     need = (percent * (ni + nj) + 99 + percent) // (100 + percent)
-    ok = (100 * lo >= percent * hi) & (np.minimum(ni - pos[i], nj - pos[j]) >= need) & (rid[i] != rid[j])
+    ok = (100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj)) & (np.minimum(ni - pos[i], nj - pos[j]) >= need) & (c[1][i] != c[1][j])
     i, j = i[ok], j[ok]
-    differ = sum(np.bitwise_count(s[i] ^ s[j]).astype("i8") for s in sig)
-    ok = differ <= apart(n[i], n[j], percent)
-    x, y = rid[i[ok]], rid[j[ok]]
-    return np.maximum(x, y), np.minimum(x, y)
+    d = sum(np.bitwise_count((s[i] ^ s[j]).view("u8")).astype("i8") for s in c[4:8])
+    ok = d <= apart(n[i], n[j], percent)
+    return i[ok], j[ok], d[ok]
 
 
 def crossing(tiles: DataFrame, percent: int, block: int = 1024) -> DataFrame:
@@ -127,18 +128,19 @@ def crossing(tiles: DataFrame, percent: int, block: int = 1024) -> DataFrame:
                 i, j = np.meshgrid(np.arange(s, e), np.arange(t, min(t + block, e)), indexing="ij")
                 ok = (j < i) & (label[i] != label[j])
                 if ok.any():
-                    yield possible(c[:8], i[ok], j[ok], percent)
+                    i, j, _ = possible(c, i[ok], j[ok], percent)
+                    yield np.maximum(c[1][i], c[1][j]), np.minimum(c[1][i], c[1][j])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
 
         def out(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """A pair that several tiles hold leaves a batch once."""
             edge = np.flatnonzero(np.concatenate(([True], c[0][1:] != c[0][:-1], [True])))
-            for s, e in zip(edge[:-1], edge[1:]):
-                if e - s > 1:
-                    for x, y in tile([v[s:e] for v in c]):
-                        if len(x):
-                            yield pa.RecordBatch.from_pydict({"a": pa.array(x), "b": pa.array(y)})
+            held = [p for s, e in zip(edge[:-1], edge[1:]) if e - s > 1 for p in tile([v[s:e] for v in c]) if len(p[0])]
+            if held:
+                x, y = np.unique(np.stack([np.concatenate(z) for z in zip(*held)]), axis=1)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(x), "b": pa.array(y)})
 
         for b in batches:
             c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
@@ -188,7 +190,7 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int, small: int
     return pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", heavy: int = 100_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", heavy: int = 100_000, rounds: int = 1) -> DataFrame:
     """(rid, doc_id, n_shingles, component_id, root), one row for each row of docs; rid is the row's number in the
     table, root that of a row which stands for the component.
 
@@ -214,28 +216,36 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
 
     sets = materialize(rows.mapInArrow(describe, f"rid long, doc_id {kind}, n long, key binary, tokens array<long>, " + ", ".join(f"{s} long" for s in SIG)), "sets")
     classes = materialize(sets.where("n > 0").groupBy("key").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
-    reps = sets.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    spread = reps.select("rid", "n", *SIG, F.posexplode("tokens").alias("pos", "token")).select("token", "rid", "n", F.col("pos").cast("long").alias("pos"), *SIG)
-
-    def by_tile(df: DataFrame) -> DataFrame:
-        return df.repartition("token").sortWithinPartitions("token", "n", "rid")
-
-    # first: each class with the two classes that its tiles name most often
-    met = neighbours(by_tile(spread), percent).groupBy("a", "b").agg(F.count("*").alias("times"))
-    order = Window.partitionBy("a").orderBy(F.desc("times"), "b")
-    tried = met.withColumn("i", F.row_number().over(order)).where("i <= 2").select("a", "b")
-    links = materialize(verified(tried, rows, k, percent), "links")
-    labels = components(links)
-
-    # then: all pairs of different labels in tiles that hold more than one
-    named = reps.join(labels, reps.rid == labels.node, "left").select("rid", "n", "tokens", *SIG, F.coalesce("root", "rid").alias("label"))
-    named = materialize(named, "named")
-    mixed = named.select("label", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    rest = named.select("rid", "n", *SIG, "label", F.posexplode("tokens").alias("pos", "token")).join(mixed, "token", "left_semi")
-    pairs = crossing(by_tile(rest.select("token", "rid", "n", F.col("pos").cast("long").alias("pos"), *SIG, "label")), percent).distinct()
-    more = materialize(verified(pairs, rows, k, percent), "links")
-    joined = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    roots = components(joined)
+    reps = sets.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n", "tokens", *SIG)
+
+    def tiles(named: DataFrame, mixed: DataFrame | None) -> DataFrame:
+        spread = named.select("rid", "n", *SIG, "label", F.posexplode("tokens").alias("pos", "token"))
+        if mixed is not None:
+            spread = spread.join(mixed, "token", "left_semi")
+        spread = spread.select("token", "rid", "n", F.col("pos").cast("long").alias("pos"), *SIG, "label")
+        return spread.repartition("token").sortWithinPartitions("token", "n", F.xxhash64("rid", "token"))
+
+    named, mixed, roots = materialize(reps.withColumn("label", F.col("rid")), "named"), None, None
+    for turn in range(rounds + 1):
+        order = Window.partitionBy("x").orderBy("d", F.desc("times"), "y")
+        if turn < rounds:
+            # each class with the two of other labels that seem nearest
+            met = nearest(tiles(named, mixed), percent).groupBy("x", "y").agg(F.min("d").alias("d"), F.count("*").alias("times"))
+            tried = met.withColumn("i", F.row_number().over(order)).where("i <= 2").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        else:
+            # all pairs of labels that are still apart
+            tried = crossing(tiles(named, mixed), percent).distinct()
+        links = materialize(verified(tried, rows, k, percent), "links")
+        new = links.count()
+        if roots is None or new:
+            roots = components(links if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+        if turn == rounds:
+            break
+        if new:
+            label = F.coalesce("root", "rid")
+            named = materialize(reps.join(roots, reps.rid == roots.node, "left").select("rid", "n", "tokens", *SIG, label.alias("label")), "named")
+            mixed = named.select("label", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+            mixed = materialize(mixed, "mixed")
 
     whole = classes.join(roots, classes.rep == roots.node, "left").select("key", "least", "copies", F.coalesce("root", "rep").alias("root"))
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
