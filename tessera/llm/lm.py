@@ -38,6 +38,12 @@ def start(base: np.ndarray, dim: int, seed: int = 7) -> list[np.ndarray]:
     return [g.normal(0, 0.1, (n, dim)).astype("f4"), np.eye(dim, dtype="f4"), 0.5 * np.eye(dim, dtype="f4"), g.normal(0, 0.1, (n, dim)).astype("f4"), base.astype("f4")]
 
 
+def summed(at: np.ndarray, x: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Rows of x added up at the rows `at` of a matrix."""
+    flat = at[:, None].astype("i8") * shape[1] + np.arange(shape[1])
+    return np.bincount(flat.ravel(), x.ravel(), shape[0] * shape[1]).reshape(shape).astype("f4")
+
+
 class Trainer:
     """Adagrad on the loss of noise-contrastive estimation, batch by batch."""
 
@@ -57,14 +63,11 @@ class Trainer:
             gp = (1 / (1 + np.exp(-(np.einsum("ij,ij->i", h, qw) + b[w] - self.logk[w]))) - 1).astype("f4")
             gn = (1 / (1 + np.exp(-(h @ qn.T + b[neg] - self.logk[neg])))).astype("f4")
         dh = gp[:, None] * qw + gn @ qn
-        grads = [np.zeros_like(x) for x in self.p]
-        np.add.at(grads[0], u, dh @ C2.T)
-        np.add.at(grads[0], v, dh @ C1.T)
-        grads[1], grads[2] = rv.T @ dh, ru.T @ dh
-        np.add.at(grads[3], w, gp[:, None] * h)
-        np.add.at(grads[3], neg, gn.T @ h)
-        grads[4] += np.bincount(w, gp, len(b)).astype("f4")
-        np.add.at(grads[4], neg, gn.sum(0))
+        grads = [
+            summed(np.concatenate((u, v)), np.concatenate((dh @ C2.T, dh @ C1.T)), R.shape), rv.T @ dh, ru.T @ dh,
+            summed(np.concatenate((w, neg)), np.concatenate((gp[:, None] * h, gn.T @ h)), Q.shape),
+            summed(np.concatenate((w, neg)), np.concatenate((gp, gn.sum(0)))[:, None], (len(b), 1))[:, 0],
+        ]
         for x, s, d in zip(self.p, self.sq, grads):
             d /= m
             s += d * d
@@ -87,13 +90,14 @@ def contexts(sequence: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([end], v[:-1])), v
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, vocab: int = 1022, dim: int = 16, rounds: int = 2, every: int = 3, hot: int = 200_000) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, vocab: int = 1022, dim: int = 16, rounds: int = 2, every: int = 4, share: int = 1_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs.
 
     Rows whose crc32(id as text) mod folds is `held` are scored but not learned from. Null text is empty (one token,
     the end); null and repeated ids give a row each; other columns are ignored. With no training row all counts are
     0: every known count is 0, and both scores still are finite. every: of the positions of a training row, one in
-    so many is trained on; counts are over all positions. hot: rows of the broadcast part of the dictionary.
+    so many is trained on; counts are over all positions. Words of over one in `share` of the tokens, fewer than `share` by
+    counting, are broadcast with their counts; all others are joined.
     """
     spark = docs.sparkSession
     rows = with_row(docs, id_col, text_col).withColumn("held_out", fold_of(F.col("doc_id"), folds) == held)
@@ -117,9 +121,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total.n, total.v
     space = log10(n + 0.5 * (v + 1))
-    top = counts.where(F.octet_length("word") <= 64).orderBy(F.desc("c"), "word").limit(hot).collect()  # at most hot words of 64 bytes
-    known = {bytes(r.word): r.c for r in top}
-    inner = [w for w in known if w != END][:vocab]
+    known = {bytes(r.word): r.c for r in counts.where((F.octet_length("word") <= 64) & (F.col("c") > n / share)).collect()}
+    inner = sorted((w for w in known if w != END), key=lambda w: (-known[w], w))[:vocab]
     number = {w: i + 2 for i, w in enumerate(inner)}  # 0: the stand-in, 1: the end
     number[END] = 1
     of = np.array([0, known.get(END, 0), *(known[w] for w in inner)], "f8") + 0.5
@@ -213,7 +216,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield out(held_)
 
     freq = rows.select("rid", "text").mapInArrow(per_row, "rid long, word binary, k long, base double, rest double, neural double, n_known long, n_tokens long")
-    # what the broadcast part lacks has at most one in `hot` of the tokens, so no word is hot here; sums at hand are spread
+    # what the broadcast part lacks has at most one in `share` of the tokens, or is long, so no word is hot here; sums at hand are spread
     key = F.coalesce("word", F.concat(F.lit(b" "), F.col("rid").cast("string").cast("binary")))
     other = counts.select(F.col("word").alias("key"), "c")
     x = F.when(F.col("word").isNotNull(), F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).otherwise(F.lit(0.0))
