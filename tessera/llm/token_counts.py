@@ -1,8 +1,8 @@
 """Token counts without materialising ids.
 
 Pieces are counted once per distinct pre-token and joined to per-document pre-token frequencies. Pre-tokens are
-Zipf-distributed, so the join has two parts: a dictionary of at most `hot` frequent pre-tokens, whose size is bounded
-by that parameter times 64 characters, is broadcast and summed where the document is read; all other pre-tokens are
+Zipf-distributed, so the join has two parts: a dictionary of frequent pre-tokens (over one in `share` of those that tasks report, fewer than `share`
+of at most 64 characters by counting) is broadcast and summed where the document is read; all other pre-tokens are
 dealt by pre-token, counted once where they meet, and summed by row. A pre-token that is left to the second part
 holds at most one in `local` of its tasks' pre-tokens, so no partition of it is hot.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_row
+from .common import materialize, with_row
 
 LONG = 64
 
@@ -47,7 +47,7 @@ def counting(path: str) -> Counting:
     return _KEPT[path]
 
 
-def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, hot: int = 200_000, local: int = 50_000) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, share: int = 1_000_000, local: int = 50_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), one row for each row of docs.
 
     path: a .json vocabulary (library tokenizers) or a .model one (sentencepiece). Where the vocabulary drops white
@@ -72,8 +72,9 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for b in batches:
             yield pa.RecordBatch.from_pydict({"piece": b.column(0), "k": pa.array([count(p) for p in b.column(0).to_pylist()], pa.int64())})
 
-    top = rows.select("text").mapInArrow(frequent, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(hot).select("piece")
-    known = spark.sparkContext.broadcast({r.piece: r.k for r in top.repartition(8).mapInArrow(counted, "piece string, k long").collect()})
+    top = materialize(rows.select("text").mapInArrow(frequent, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "frequent")
+    total = top.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    known = spark.sparkContext.broadcast({r.piece: r.k for r in top.where(F.col("n") > total / share).select("piece").mapInArrow(counted, "piece string, k long").collect()})
 
     def per_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, ready = counting(path).split, known.value
