@@ -31,16 +31,17 @@ def byte_letters() -> dict[int, str]:
 class Ids(dict):
     """chunk -> its ids as little-endian unsigned 32-bit bytes; filled by need, emptied at `most` entries."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000, most_pieces: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
-        self.most, self.tok, self.pieces = most, Tokenizer.from_file(path), {}
+        self.most, self.most_pieces, self.tok, self.pieces = most, most_pieces, Tokenizer.from_file(path), {}
         spec = json.loads(self.tok.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.drops_blanks = spec["model"].get("end_of_word_suffix") == "</w>" and any(p.get("behavior") == "Removed" and p.get("invert") for p in pre.get("pretokenizers", []))
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", []))) if spec.get("added_tokens") else None
+        self.mark = os.path.commonprefix([t["content"] for t in spec.get("added_tokens", [])])  # what all special tokens begin with
         self.letters = byte_letters()
 
     def whole(self, text: str) -> bytes:
@@ -51,7 +52,7 @@ class Ids(dict):
         if (got := self.pieces.get(piece)) is None:
             got = np.array([t.id for t in self.tok.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))], "<u4").tobytes()
             if len(piece) <= 40:
-                if len(self.pieces) >= self.most:
+                if len(self.pieces) >= self.most_pieces:
                     self.pieces.clear()
                 self.pieces[piece] = got
         return got
@@ -59,7 +60,7 @@ class Ids(dict):
     def __missing__(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if PLAIN.match(chunk) and not (self.special and self.special.search(chunk)):
+        if PLAIN.match(chunk) and not (self.special and self.mark in chunk and self.special.search(chunk)):
             got = b"".join(map(self.piece, PIECE.findall(chunk.lower())))
         else:
             got = self.whole(chunk)
