@@ -90,14 +90,14 @@ def contexts(sequence: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([end], v[:-1])), v
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, vocab: int = 1022, dim: int = 16, rounds: int = 2, every: int = 4, share: int = 1_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, vocab: int = 1022, dim: int = 16, rounds: int = 2, share: int = 1_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs.
 
     Rows whose crc32(id as text) mod folds is `held` are scored but not learned from. Null text is empty (one token,
     the end); null and repeated ids give a row each; other columns are ignored. With no training row all counts are
-    0: every known count is 0, and both scores still are finite. every: of the positions of a training row, one in
-    so many is trained on; counts are over all positions. Words of over one in `share` of the tokens, fewer than `share` by
-    counting, are broadcast with their counts; all others are joined.
+    0: every known count is 0, and both scores still are finite. Every round trains on every position of every
+    training row, its end included. Words of over one in `share` of the tokens, fewer than `share` by counting, are
+    broadcast with their counts; all others are joined.
     """
     spark = docs.sparkSession
     rows = with_row(docs, id_col, text_col).withColumn("held_out", fold_of(F.col("doc_id"), folds) == held)
@@ -147,10 +147,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for text in b.column(0).to_pylist():
                     s = encode(words(text))
                     u, v_ = contexts(s, 1)
-                    pick = slice((len(s) + turn) % every, None, every)
                     for a, x in zip(held_, (u, v_, s)):
-                        a.append(x[pick])
-                    n_held += len(held_[0][-1])
+                        a.append(x)
+                    n_held += len(s)
                     while n_held >= 512:
                         u, v_, s = (np.concatenate(a) for a in held_)
                         for i in range(0, n_held - 511, 512):

@@ -146,6 +146,20 @@ def test_lm(docs, none, rows):
     assert lm.score_texts(none).count() == 0
 
 
+def test_lm_learns_every_position(spark):
+    from math import log10
+
+    # two contexts, each with one follower: counts alone give each token one half, the end included
+    rows = spark.createDataFrame([(i, "a") for i in range(5000)], "doc_id long, text string").coalesce(1)
+    got = lm.score_texts(rows).first()
+    assert abs(got.base_score - 2 * log10(0.5)) < 0.01
+    assert got.score > log10(0.5)
+    # empty texts train their end: nothing else follows a text's beginning
+    rows = spark.createDataFrame([(i, "" if i % 2 else "b b b") for i in range(5000)], "doc_id long, text string").coalesce(1)
+    got = {r.n_tokens: r for r in lm.score_texts(rows).collect()}
+    assert got[1].score > got[1].base_score and got[4].score > got[4].base_score
+
+
 def test_lm_is_normalised():
     g = np.random.default_rng(0)
     params = [g.normal(size=(7, 3)), g.normal(size=(3, 3)), g.normal(size=(3, 3)), g.normal(size=(7, 3)), g.normal(size=7)]
