@@ -38,8 +38,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of fewer than two benchmark items."""
-    found = decontam.find(docs, documents(spark, sf_dir, "benchmark"))
+    """Documents that hold no window of any benchmark item."""
+    found = decontam.find(docs, documents(spark, sf_dir, "benchmark"), least_items=1)
     gone = materialize(found.where("contaminated").select("rid"), "contaminated")
     return docs.withColumn("rid", F.monotonically_increasing_id()).join(gone, "rid", "left_anti").select(*docs.columns)
 

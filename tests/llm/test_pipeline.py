@@ -112,3 +112,11 @@ def test_stages_keep_columns(spark, tmp_path):
         assert out.where("doc_id = 2").first().text is None and out.where("doc_id is null").count() == 1
     assert corpus_pipeline.without_near_duplicates(spark, docs, DATA).where("doc_id = 1").count() == 1
     assert corpus_pipeline.without_near_duplicates(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_one_planted_passage_is_dropped(spark, tmp_path):
+    item = documents(spark, DATA, "benchmark").where("length(text) > 0").orderBy("item_id").first().text
+    docs = spark.createDataFrame([(1, f"before it {item} after it", "en", "s", 0), (2, "no passage at all", "en", "s", 0)], documents(spark, DATA).schema)
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert [r.doc_id for r in corpus_pipeline.without_benchmark(spark, docs, DATA).collect()] == [2]
