@@ -36,12 +36,14 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", infer_type
     else:
         import csv
 
-        raw = spark.read.format("binaryFile").load(path).select("content").first()
-        rows = list(csv.reader(io.StringIO(bytes(raw.content).decode(encoding), newline="")))
-        if not rows:
+        raw = spark.read.format("binaryFile").load(path).orderBy("path").select("content").toLocalIterator()
+        files = [rows for r in raw if (rows := list(csv.reader(io.StringIO(bytes(r.content).decode(encoding), newline=""))))]
+        if not files:
             raise ValueError(f"no data in {path}")
-        head = rows[0]
-        df = spark.createDataFrame([tuple((r + [None] * len(head))[: len(head)]) for r in ([c or None for c in r] for r in rows[1:])], ", ".join(f"`{h}` string" for h in head))
+        head = files[0][0]
+        if any(rows[0] != head for rows in files):
+            raise ValueError(f"files of different headers in {path}")
+        df = spark.createDataFrame([tuple((r + [None] * len(head))[: len(head)]) for rows in files for r in ([c or None for c in r] for r in rows[1:])], ", ".join(f"`{h}` string" for h in head))
     if not df.columns or df.isEmpty():
         raise ValueError(f"no data in {path}")
     if infer_types:
@@ -50,25 +52,55 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", infer_type
     return df
 
 
+def by_kind(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Paths of JSON files that one root value fills, and of those with a value on each line; blank files are in
+    neither."""
+
+    @F.udf("string")
+    def kind(content: bytes) -> str | None:
+        import json
+
+        text = bytes(content).decode("utf-8-sig", "replace").strip()
+        if not text:
+            return None
+        if text[0] == "[":
+            return "root"
+        try:
+            end = json.JSONDecoder().raw_decode(text)[1]
+        except ValueError:
+            return "lines"
+        return "root" if end == len(text) else "lines"
+
+    found = spark.read.format("binaryFile").load(path).select("path", kind("content").alias("kind")).orderBy("path").collect()
+    return tuple([r.path for r in found if r.kind == k] for k in ("root", "lines"))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of objects, or an array of objects (tried first for .json); every value as text, columns in the order
-    in which the first object has them."""
+    """Lines of objects, or for .json also one array or object over a whole file; every value as text, columns in the
+    order in which the first object has them. Files of both kinds may lie in one folder."""
     _there(path)
     lines = str(path).lower().endswith((".jsonl", ".ndjson"))
-    for multi in ([False] if lines else [True, False]):
-        df = spark.read.options(primitivesAsString=True, multiLine=multi, mode="PERMISSIVE").json(path)
-        if df.columns and df.columns != ["_corrupt_record"] and not df.isEmpty():
-            import json
-
-            head = spark.read.option("wholetext", multi).text(path).first().value
-            try:
-                first, _ = json.JSONDecoder().raw_decode(head.lstrip().removeprefix("[").lstrip())
-                order = [c for c in first if c in df.columns]
-            except ValueError:
-                order = []
-            names = order + [c for c in df.columns if c not in order and c != "_corrupt_record"]
-            kinds = dict(df.dtypes)
-            return df.select(*((F.col(f"`{c}`") if kinds[c] == "string" else F.to_json(F.col(f"`{c}`"))).alias(c) for c in names))
+    roots, by_line = ([], [path]) if lines else by_kind(spark, path)
+    parts = [(multi, spark.read.options(primitivesAsString=True, multiLine=multi, mode="PERMISSIVE").json(p)) for multi, p in ((True, roots), (False, by_line)) if p]
+    df = parts[0][1] if parts else spark.createDataFrame([], "_corrupt_record string")
+    if len(parts) > 1:
+        kinds = [dict(d.dtypes) for _, d in parts]
+        mixed = {c for c in kinds[0] if kinds[0][c] != kinds[1].get(c, kinds[0][c])}
+        df, other = (d.select(*((F.col(f"`{c}`") if k[c] == "string" or c not in mixed else F.to_json(F.col(f"`{c}`"))).alias(c) for c in d.columns)) for (_, d), k in zip(parts, kinds))
+        df = df.unionByName(other, allowMissingColumns=True)
+    multi = bool(roots)
+    if df.columns and df.columns != ["_corrupt_record"] and not df.isEmpty():
+        import json
+
+        head = spark.read.option("wholetext", multi).text(roots or by_line).first().value
+        try:
+            first, _ = json.JSONDecoder().raw_decode(head.lstrip().removeprefix("[").lstrip())
+            order = [c for c in first if c in df.columns]
+        except ValueError:
+            order = []
+        names = order + [c for c in df.columns if c not in order and c != "_corrupt_record"]
+        kinds = dict(df.dtypes)
+        return df.select(*((F.col(f"`{c}`") if kinds[c] == "string" else F.to_json(F.col(f"`{c}`"))).alias(c) for c in names))
     raise ValueError(f"no data in {path}")
 
 

@@ -129,6 +129,24 @@ def test_json_files(spark, tmp_path):
         assert json.loads((tmp_path / f"out_{name}").read_text("utf-8")) == {"name": "张*", "email": "a***@b.com", "n": "1"}
 
 
+def test_json_lines_in_json_files(spark, tmp_path):
+    lines = "".join(json.dumps({"name": "张伟", "n": i}, ensure_ascii=False) + "\n" for i in range(3))
+    src = write(tmp_path / "a.json", lines)
+    assert mask_path(spark, src, str(tmp_path / "b.json")).rows == 3
+    assert tables.read_json(spark, str(tmp_path / "b.json")).count() == 3
+    (tmp_path / "d").mkdir()
+    write(tmp_path / "d" / "1.json", lines)
+    write(tmp_path / "d" / "2.json", '[{"name": "李娜",\n "n": 3},\n {"name": "王芳", "n": 4}]')
+    write(tmp_path / "d" / "3.json", '{"name": "x",\n "n": 5}')
+    assert {r.n for r in tables.read_json(spark, str(tmp_path / "d")).collect()} == set("012345")
+
+
+def test_csv_folder_of_other_encoding(spark, tmp_path):
+    for i, name in enumerate(("张伟", "李娜")):
+        (tmp_path / f"{i}.csv").write_bytes(f"name\n{name}\n".encode("gb18030"))
+    assert {r.name for r in tables.read_csv(spark, str(tmp_path), "gb18030").collect()} == {"张伟", "李娜"}
+
+
 def test_excel(spark, tmp_path):
     src = str(tmp_path / "a.xlsx")
     tables.new_excel(src, {"用户": [["name", "email", ""], ["张伟", "a@b.com", "x<&"]], "权限": [["employee_id", "phone"], ["EMP-1", "13800000000"]], "空": [["only"]]})
