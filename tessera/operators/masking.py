@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,11 +53,30 @@ class Masked:
         return MaskStats(r.rows, r.n, 1)
 
 
-def value_rules(rules: RuleSet) -> list[tuple[Rule, str]]:
-    """Rules of whole-value detection with their Java patterns, the longest pattern first; those that cannot be
-    compiled are left out."""
+def compiles(pattern: str) -> bool:
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    return True
+
+
+def value_rules(rules: RuleSet) -> list[tuple[Rule, str | None]]:
+    """Rules of whole-value detection with their Java patterns (None where there is none), the longest pattern first;
+    those that Python cannot compile are left out."""
     out = [(r, to_java(r.match)) for r in rules.rules.values() if r.name in VALUE_RULES and r.in_text and not r.disabled]
-    return sorted(((r, p) for r, p in out if p), key=lambda x: -len(x[0].match))
+    return sorted(((r, p) for r, p in out if p or compiles(r.match)), key=lambda x: -len(x[0].match))
+
+
+def by_python(v: Column, pattern: str) -> Column:
+    """Whether a value matches as a whole a pattern without a Java form: Python's fullmatch in Arrow batches."""
+    regex = re.compile(pattern)
+
+    @F.pandas_udf("boolean")
+    def whole(s: pd.Series) -> pd.Series:
+        return pd.Series([t is not None and regex.fullmatch(t) is not None for t in s], dtype=bool)
+
+    return whole(v)
 
 
 def value_rule(v: Column, rules: RuleSet, listed: Column | None = None) -> Column:
@@ -66,7 +87,8 @@ def value_rule(v: Column, rules: RuleSet, listed: Column | None = None) -> Colum
         person = is_person_name(v) if listed is None else listed | is_person_name(v)
         out = F.when(person, F.lit(name.name))
     for r, p in reversed(value_rules(rules)):
-        out = F.when(v.rlike(rf"(?Ud)\A(?:{p.removeprefix('(?Ud)')})\z"), F.lit(r.name)).otherwise(out)
+        whole = v.rlike(rf"(?Ud)\A(?:{p.removeprefix('(?Ud)')})\z") if p else by_python(v, r.match)
+        out = F.when(whole, F.lit(r.name)).otherwise(out)
     return F.when((v != "") & ~v.startswith("="), out)
 
 

@@ -65,12 +65,25 @@ def mask_text(df: DataFrame, column: str, rules: RuleSet, pepper: str | None = N
     return df
 
 
+def held_by_python(rule: Rule):
+    regex = re.compile(unanchored(rule.match))
+
+    @F.pandas_udf("boolean")
+    def held(s: pd.Series) -> pd.Series:
+        return pd.Series([t is not None and any(m[0] for m in regex.finditer(t)) for t in s], dtype=bool)
+
+    return held
+
+
 def sensitive(t: Column, rules: RuleSet, spark) -> Column:
-    """Whether a text holds a match of any text rule."""
+    """Whether a text holds a match of any text rule. Rules without a Java form are searched by Python in Arrow batches,
+    which Spark refuses inside a lambda of a higher-order function."""
     out = F.lit(False)
     for r in rules.text_rules():
         if java := native(spark, unanchored(r.match)):
             out = out | t.rlike(java)
+        else:
+            out = out | held_by_python(r)(t)
     return out
 
 

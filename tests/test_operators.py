@@ -104,6 +104,22 @@ def test_preview(spark):
     assert sum(r["hits"] for r in got.values()) == mask_table(df, default_rules()).count()
 
 
+def test_value_scan_with_python_patterns(spark):
+    from dataclasses import replace
+
+    from tessera.operators.text import sensitive
+
+    base = default_rules().rules
+    own = RuleSet(base | {"email": replace(base["email"], match=r"[\w.+-]+@[\w-]+\.\w+")})
+    assert to_java(own.rules["email"].match) is None
+    df = spark.createDataFrame([(" ann@b.com ",), ("no address",), (None,), ("",)], "remark string")
+    assert [r.remark for r in apply_rules(df, own).frame.collect()] == ["a***@b.com", "no address", None, ""]
+    assert preview(df, own)[0]["hits"] == 1
+    text = spark.createDataFrame([("write to ann@b.com",), ("nothing",)], "t string")
+    only = RuleSet({"email": own.rules["email"]})
+    assert [r.s for r in text.select(sensitive(F.col("t"), only, spark).alias("s")).collect()] == [True, False]
+
+
 def write(path: Path, text: str) -> str:
     path.write_text(text, "utf-8")
     return str(path)
