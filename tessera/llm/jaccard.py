@@ -1,178 +1,169 @@
-"""Exact n-gram Jaccard join over size-banded tiles with bitmap signatures.
-
-Documents of equal shingle sets are one class. A class is dealt to one tile for each shingle of its prefix: two sets
-of Jaccard t share a shingle among their |x| - ceil(t |x|) + 1 first, in any one order of all shingles; frequent
-shingles come last in the order, so that common lines open no tile. Within a tile classes lie by size, only partners
-within the size band are met, and 256-bit parity signatures bound the overlap from above (the bits in which two
-signatures differ are no more than the elements in which the sets differ). What passes is verified on the sorted
-arrays of 64-bit shingles.
-
-Components alone are asked for, so large groups of near copies are not paired out. In each of `rounds` turns a class
-is verified against the two of its tiles' classes that seem nearest and have another label, and the components of all
-links so far become the labels; then tiles that hold more than one label are searched in full for pairs of different
-labels, all of which are verified.
+"""Exact n-gram Jaccard join over size-banded tiles with hashed bitmap signatures.
+
+Documents of equal shingle sets are one class. Class sizes lie in bands so that partners of a link are in one band or
+two next ones. Two linked sets of a band differ in at most `most` elements. So their elements, dealt by hash range to
+`most` + 1 + `spare` parts, agree in at least `spare` + 1 whole parts: a tile holds the classes of a band with equal
+content of one part, and any link shares a tile. A set with more than `spare` empty parts (about one in a thousand,
+of the shortest texts one in twenty) also opens tiles for the shingles of its prefix, among such sets alone. A whole part is several shingles, so unrelated
+texts hardly ever share a tile, and what is shuffled grows as the input does. Within a tile, the bits in which two
+256-bit parity signatures differ bound the overlap from above; what passes is verified on sorted arrays of shingles.
+
+Components alone are asked for, so groups of near copies are not paired out. First each class of a tile is verified
+against the tile's hub, the class that shares the most tiles. The components of these links are labels; in tiles that
+still hold several, each class outside the most frequent label meets all classes of other labels, in salted blocks of
+`block` classes, and all pairs that pass the bounds are verified.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, materialize, with_row
+from .common import discard, hot_join, materialize, with_row
 from .graph import components
-from .shingles import Hashes, shingle_set
+from .shingles import mixed, shingle_sets, slices
 
 BITS = 256
 SIG = ["s0", "s1", "s2", "s3"]
-_HASHES = Hashes()
 
 
-def text_set(text: str, k: int) -> np.ndarray:
-    return shingle_set(_HASHES.of(text.encode().lower().split()), k)
-
-
-def signature(x: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements at each of 256 places."""
-    return np.packbits((np.bincount((x & np.uint64(BITS - 1)).astype("i8"), minlength=BITS) & 1).astype("u1")).view("<i8")
-
-
-def prefix(x: np.ndarray, percent: int, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles in the order (rank among the frequent ones, hash), as many as a link needs."""
-    n = len(x)
-    p = n - (percent * n + 99) // 100 + 1
-    if len(heavy):
-        i = np.searchsorted(heavy, x).clip(max=len(heavy) - 1)
-        r = np.where(heavy[i] == x, rank[i], 0)
-        if r.any():
-            return x[np.lexsort((x, r))[:p]]
-    return x[:p]
-
-
-def apart(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """In how many elements two sets of these sizes may differ and still link."""
-    s = na + nb
-    return s - 2 * ((percent * s + 99 + percent) // (100 + percent))
-
-
-def frequent(rows: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of one batch share, sorted, with their rank by count (from 1); at most `most`.
-    They only order the prefixes: any choice gives the same links."""
+def apart(total: int, percent: int) -> int:
+    """In how many elements two sets of this total size may differ and still link."""
+    return total - 2 * ((percent * total + 99 + percent) // (100 + percent))
+
+
+class Bands:
+    """Edges of the size bands, and for tiles whose larger partner lies in a band the numbers of parts and of spare
+    parts."""
+
+    def __init__(self, percent: int):
+        self.percent, self.edges = percent, np.array([1])
+
+    def of(self, n: np.ndarray) -> np.ndarray:
+        """The band of each size."""
+        while len(n) and self.edges[-1] <= n.max():
+            self.edges = np.append(self.edges, 100 * self.edges[-1] // self.percent + 1)
+        return np.searchsorted(self.edges, n, "right") - 1
+
+    @lru_cache(maxsize=None)  # noqa: B019
+    def parts(self, band: int) -> tuple[int, int]:
+        """(parts, spare) of a band; no parts where links need equal sets."""
+        edge = [1]
+        while len(edge) < band + 2:
+            edge.append(100 * edge[-1] // self.percent + 1)
+        least, largest = edge[max(band - 1, 0)], edge[band + 1] - 1
+        most = max(apart(2 * largest, self.percent), apart(2 * largest - 1, self.percent))
+        if not most:
+            return 0, 0
+        if most >= 30:  # about normal: four deviations
+            spare = 0
+            for _ in range(20):
+                mean = (most + 1 + spare) * exp(-least / (most + 1 + spare))
+                spare = int(mean + 4 * mean**0.5) + 1
+            return most + 1 + spare, spare
+        best = (2.0, 0, 0)
+        for spare in range(10):
+            p = most + 1 + spare
+            mean = p * (1 - 1 / p) ** least
+            tail, term = 1.0, exp(-mean)
+            for i in range(spare + 1):
+                tail -= term
+                term *= mean / (i + 1)
+            best = min(best, (tail, p, spare))
+            if tail < 1e-3:
+                break
+        return best[1:]
+
+
+def signatures(x: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Parity of the number of a set's elements at each of 256 places."""
+    odd = np.bincount(doc * BITS + (x & np.uint64(BITS - 1)).astype("i8"), minlength=docs * BITS) & 1
+    return np.packbits(odd.astype("u1")).view("<i8").reshape(docs, BITS // 64)
+
+
+def tile_keys(x: np.ndarray, doc: np.ndarray, n: np.ndarray, sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(document, key) of all tiles of sets that lie one after another in x, in order of documents."""
+    at, keys = [], []
+    own = bands.of(n)
+    for up in (0, 1):
+        shape = [bands.parts(int(b)) for b in own + up]
+        p = np.array([s[0] for s in shape], "u8")
+        part = ((x >> np.uint64(32)) * p[doc]) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])))) if len(x) else np.zeros(0, "i8")
+        first = first[p[doc[first]] > 0]
+        if len(first):
+            # parts of documents without tiles lie between, so sums run to the next part's first element of any document
+            ends = np.flatnonzero(np.concatenate(((doc[1:] != doc[:-1]) | (part[1:] != part[:-1]), [True]))) + 1
+            stop = ends[np.searchsorted(ends, first, "right")]
+            total = np.concatenate((np.zeros(1, "u8"), np.cumsum(mixed(x))))
+            seed = mixed((own[doc[first]] + up).astype("u8") << np.uint64(32) | part[first])
+            keys.append(mixed((total[stop] - total[first]) ^ seed))
+            at.append(doc[first])
+        empty = p.astype("i8") - np.bincount(doc[first], minlength=len(n))
+        for i in np.flatnonzero(empty > np.array([s[1] for s in shape])):
+            need = len(sets[i]) - (bands.percent * len(sets[i]) + 99) // 100 + 1
+            keys.append(mixed(sets[i][:need] + mixed(np.full(1, (own[i] + up) << 1 | 1, "u8"))))
+            at.append(np.full(need, i))
+    if not keys:
+        return np.zeros(0, "i8"), np.zeros(0, "i8")
+    at, keys = np.concatenate(at), np.concatenate(keys)
+    order = np.argsort(at, kind="stable")
+    return at[order], keys[order].view("i8")
+
+
+def describe(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """(rid, doc_id, n, key, tiles, s0..s3) of each row."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
         for b in batches:
-            sets = [text_set(t, k) for t in set(b.column(0).to_pylist())]
-            x, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, "u8"), np.zeros(0, "i8"))
-            x, n = x[n > 2], n[n > 2]
-            yield pa.RecordBatch.from_pydict({"x": pa.array(x.view("i8"), pa.int64()), "n": pa.array(n, pa.int64())})
+            for part in slices(b, 2):
+                sets = shingle_sets(part.column(2), k)
+                n = np.array([len(v) for v in sets])
+                x, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+                at, keys = tile_keys(x, doc, n, sets, bands)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(sets)))))
+                names = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() if len(v) else None for v in sets]
+                sig = signatures(x, doc, len(sets))
+                tiles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(names, pa.binary()), tiles, *(pa.array(np.ascontiguousarray(sig[:, i])) for i in range(4))], ["rid", "doc_id", "n", "key", "tiles", *SIG])
 
-    got = rows.select("text").mapInArrow(local, "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "x").limit(most).toPandas()
-    x = got.x.to_numpy("i8").view("u8")
-    order = np.argsort(x)
-    return x[order], (len(x) - np.arange(len(x)))[order]
+    return rows.mapInArrow(emit, f"rid long, doc_id {kind}, n long, key binary, tiles array<long>, " + ", ".join(f"{s} long" for s in SIG))
 
 
-def nearest(tiles: DataFrame, percent: int, reach: int = 8) -> DataFrame:
-    """(x, y, d): for each row of a tile the one of another label, of `reach` rows before and after it, that may link
-    with it and whose signature differs in the fewest bits. Rows of equal size lie in another order in each tile, so
-    a class meets many others, however large its group is."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for b in batches:
-            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
-            if kept is not None:
-                c = [np.concatenate((k, x)) for k, x in zip(kept, c)]
-            n = len(c[0])
-            best, who = np.full(n, BITS + 1), np.full(n, -1)
-            for o in range(1, min(reach, n - 1) + 1):
-                i = np.flatnonzero((c[0][o:] == c[0][:-o]) & (c[8][o:] != c[8][:-o])) + o
-                i, j, d = possible(c, i, i - o, percent)
-                for p, q in ((i, j), (j, i)):
-                    less = d < best[p]
-                    best[p[less]], who[p[less]] = d[less], q[less]
-            at = np.flatnonzero(who >= 0)
-            kept = [x[-reach:] for x in c]
-            yield pa.RecordBatch.from_pydict({"x": pa.array(c[1][at]), "y": pa.array(c[1][who[at]]), "d": pa.array(best[at])})
-
-    return tiles.mapInArrow(meet, "x long, y long, d long")
-
-
-def possible(c: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Those of the row pairs (i, j) of a tile that may link by size band, position and bitmap bound, and the bits in
-    which their signatures differ."""
-    n, pos = c[2], c[3]
-    ni, nj = n[i], n[j]
-    need = (percent * (ni + nj) + 99 + percent) // (100 + percent)
-    ok = (100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj)) & (np.minimum(ni - pos[i], nj - pos[j]) >= need) & (c[1][i] != c[1][j])
-    i, j = i[ok], j[ok]
-    d = sum(np.bitwise_count((s[i] ^ s[j]).view("u8")).astype("i8") for s in c[4:8])
-    ok = d <= apart(n[i], n[j], percent)
-    return i[ok], j[ok], d[ok]
-
-
-def crossing(tiles: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """(a, b) for all pairs of a tile that have different labels and may link."""
-
-    def tile(c: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        n, label = c[2], c[8]
-        for s in range(0, len(n), block):
-            e = min(s + block, len(n))
-            # rows lie by size: partners of this block begin where the size band does
-            begin = int(np.searchsorted(n, -(-percent * n[s] // 100)))
-            for t in range(begin, e, block):
-                i, j = np.meshgrid(np.arange(s, e), np.arange(t, min(t + block, e)), indexing="ij")
-                ok = (j < i) & (label[i] != label[j])
-                if ok.any():
-                    i, j, _ = possible(c, i[ok], j[ok], percent)
-                    yield np.maximum(c[1][i], c[1][j]), np.minimum(c[1][i], c[1][j])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-
-        def out(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            """A pair that several tiles hold leaves a batch once."""
-            edge = np.flatnonzero(np.concatenate(([True], c[0][1:] != c[0][:-1], [True])))
-            held = [p for s, e in zip(edge[:-1], edge[1:]) if e - s > 1 for p in tile([v[s:e] for v in c]) if len(p[0])]
-            if held:
-                x, y = np.unique(np.stack([np.concatenate(z) for z in zip(*held)]), axis=1)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(x), "b": pa.array(y)})
-
-        for b in batches:
-            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
-            if kept is not None:
-                c = [np.concatenate((k, x)) for k, x in zip(kept, c)]
-            if not len(c[0]):
-                continue
-            last = int(np.searchsorted(c[0], c[0][-1]))
-            yield from out([x[:last] for x in c]) if last else ()
-            kept = [x[last:] for x in c]
-        if kept is not None:
-            yield from out(kept)
-
-    return tiles.mapInArrow(meet, "a long, b long")
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether the classes in the structs x and y may link by their sizes and the bits of their signatures."""
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    bits = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SIG), F.lit(0))
+    need = F.expr(f"({percent} * ({x}.n + {y}.n) + {99 + percent}) div {100 + percent}")
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (bits <= a + b - 2 * need)
 
 
 def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int, small: int = 500_000) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets link, by exact intersection of sorted arrays."""
+    """Those of the distinct pairs (a, b) whose sets link, by exact intersection of sorted arrays. The texts of up to
+    `small` classes (8 bytes a class) are picked by a broadcast of their numbers, of more by a shuffled join."""
     pairs = materialize(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     ids = materialize(ids, "ids")
-    ids = F.broadcast(ids) if ids.count() <= small else ids  # small * 8 bytes at most
+    picked = F.broadcast(ids) if ids.count() <= small else ids
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, 1000):
-                part = b.slice(s, 1000)
-                x = [text_set(t, k).view("i8") for t in part.column(1).to_pylist()]
+            for part in slices(b, 1):
+                x = [v.view("i8") for v in shingle_sets(part.column(1), k)]
                 ends = np.cumsum([0, *map(len, x)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x), pa.int64()))], ["rid", "x"])
 
-    arrays = rows.select("rid", "text").join(ids, "rid", "left_semi").mapInArrow(sets, "rid long, x array<long>")
+    arrays = materialize(rows.select("rid", "text").join(picked, "rid", "left_semi").mapInArrow(sets, "rid long, x array<long>"), "arrays")
+    discard(ids)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,69 +178,62 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int, small: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left, right = arrays.select(F.col("rid").alias("a"), F.col("x").alias("xa")), arrays.select(F.col("rid").alias("b"), F.col("x").alias("xb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(check, "a long, b long")
+    links = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(check, "a long, b long"), "links")
+    discard(arrays)
+    discard(pairs)
+    return links
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", heavy: int = 100_000, rounds: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 1000) -> DataFrame:
     """(rid, doc_id, n_shingles, component_id, root), one row for each row of docs; rid is the row's number in the
     table, root that of a row which stands for the component.
 
     Words are runs without ASCII white space, A-Z lower-cased; a set is a text's distinct k-word shingles, as 64-bit
     hashes. Null, empty and blank texts have none and link with nothing; repeated rows are one class; of a component
-    the least id that is not null is its id (null if there is none); other columns are ignored.
+    the least id that is not null is its id (null if there is none); other columns are ignored; an empty table gives
+    no rows. A document, however long, has about 0.4 tiles for each of its shingles.
     """
     rows = with_row(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    common = docs.sparkSession.sparkContext.broadcast(frequent(rows, k, heavy))
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in range(0, b.num_rows, 1000):
-                part = b.slice(s, 1000)
-                x = [text_set(t, k) for t in part.column(2).to_pylist()]
-                first = [prefix(v, percent, *common.value).view("i8") if len(v) else np.zeros(0, "i8") for v in x]
-                ends = np.cumsum([0, *map(len, first)])
-                sig = np.array([signature(v) for v in x]).reshape(-1, 4)
-                keys = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() if len(v) else None for v in x]
-                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(v) for v in x], pa.int64()), pa.array(keys, pa.binary()), tokens, *(pa.array(np.ascontiguousarray(sig[:, i])) for i in range(4))], ["rid", "doc_id", "n", "key", "tokens", *SIG])
-
-    sets = materialize(rows.mapInArrow(describe, f"rid long, doc_id {kind}, n long, key binary, tokens array<long>, " + ", ".join(f"{s} long" for s in SIG)), "sets")
-    classes = materialize(sets.where("n > 0").groupBy("key").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
-    reps = sets.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n", "tokens", *SIG)
-
-    def tiles(named: DataFrame, mixed: DataFrame | None) -> DataFrame:
-        spread = named.select("rid", "n", *SIG, "label", F.posexplode("tokens").alias("pos", "token"))
-        if mixed is not None:
-            spread = spread.join(mixed, "token", "left_semi")
-        spread = spread.select("token", "rid", "n", F.col("pos").cast("long").alias("pos"), *SIG, "label")
-        return spread.repartition("token").sortWithinPartitions("token", "n", F.xxhash64("rid", "token"))
-
-    named, mixed, roots = materialize(reps.withColumn("label", F.col("rid")), "named"), None, None
-    for turn in range(rounds + 1):
-        order = Window.partitionBy("x").orderBy("d", F.desc("times"), "y")
-        if turn < rounds:
-            # each class with the two of other labels that seem nearest
-            met = nearest(tiles(named, mixed), percent).groupBy("x", "y").agg(F.min("d").alias("d"), F.count("*").alias("times"))
-            tried = met.withColumn("i", F.row_number().over(order)).where("i <= 2").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        else:
-            # all pairs of labels that are still apart
-            tried = crossing(tiles(named, mixed), percent).distinct()
-        links = materialize(verified(tried, rows, k, percent), "links")
-        new = links.count()
-        if roots is None or new:
-            roots = components(links if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-        if turn == rounds:
-            break
-        if new:
-            label = F.coalesce("root", "rid")
-            named = materialize(reps.join(roots, reps.rid == roots.node, "left").select("rid", "n", "tokens", *SIG, label.alias("label")), "named")
-            mixed = named.select("label", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-            mixed = materialize(mixed, "mixed")
+    sets = materialize(describe(rows, k, percent), "sets")
+    full = materialize(sets.select("rid", "doc_id", "n", "key"), "rows")
+    classes = materialize(full.where("n > 0").groupBy("key").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
+
+    reps = sets.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    spread = reps.select(F.explode("tiles").alias("tile"), "rid")
+    several = spread.groupBy("tile").agg(F.count("*").alias("size")).where("size > 1")
+    shared = materialize(spread.join(several.hint("shuffle_hash"), "tile"), "shared")
+    weight = shared.groupBy("rid").agg(F.sum(F.col("size") - 1).alias("w"))
+    info = materialize(sets.select("rid", "n", *SIG).join(weight, "rid"), "info")
+    discard(sets)
+
+    def meeting(pairs: DataFrame) -> DataFrame:
+        """(a, b) of the distinct pairs that pass the bounds."""
+        one, two = (info.select(F.col("rid").alias(c), F.struct("n", *SIG).alias(f"i{c}")) for c in "ab")
+        return pairs.distinct().join(one, "a").join(two, "b").where(may_link("ia", "ib", percent)).select("a", "b")
+
+    # each class with the hub of each of its tiles
+    hubs = shared.join(info.select("rid", "w"), "rid").groupBy("tile").agg(F.max(F.struct("w", "rid"))["rid"].alias("a"))
+    links = verified(meeting(shared.join(hubs, "tile").where("rid <> a").select("a", F.col("rid").alias("b"))), rows, k, percent)
+    roots = components(links)
+    discard(links)
+
+    # tiles of several labels: the classes outside a tile's most frequent label with all classes of other labels
+    named = shared.select("tile", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("tile", "rid", F.coalesce("root", "rid").alias("label"))
+    by_label = named.groupBy("tile", "label").agg(F.count("*").alias("c"))
+    apart_ = by_label.groupBy("tile").agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.sum("c").alias("size"), F.count("*").alias("labels")).where("labels > 1")
+    mixed_ = materialize(named.join(apart_.select("tile", "top", F.ceil(F.col("size") / block).alias("blocks")), "tile"), "mixed")
+    held = mixed_.join(info.select("rid", F.struct("n", *SIG).alias("i")), "rid")
+    probes = held.where("label <> top").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("salt"), F.col("rid").alias("a"), F.col("label").alias("la"), F.col("i").alias("ia"))
+    targets = held.select("tile", F.pmod(F.xxhash64("rid"), "blocks").cast("int").alias("salt"), F.col("rid").alias("b"), F.col("label").alias("lb"), F.col("i").alias("ib"))
+    met = probes.join(targets, (probes.tile == targets.tile) & (probes.salt == targets.salt) & (F.col("la") != F.col("lb")) & may_link("ia", "ib", percent))
+    links = verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows, k, percent)
+    if not links.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+    for t in (shared, info, mixed_, links):
+        discard(t)
 
     whole = classes.join(roots, classes.rep == roots.node, "left").select("key", "least", "copies", F.coalesce("root", "rep").alias("root"))
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(whole.join(least, "root").select("key", "copies", "component_id", "root"), "components")
-    full = sets.where("n > 0").select("rid", "doc_id", "n", "key")
-    linked = hot_join(full, named, "key", "copies", sets.count()).select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "root")
-    return linked.unionByName(sets.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("root")))
+    named = materialize(hot_join(whole, least.join(whole.groupBy("root").count(), "root"), "root", "count", classes.count(), "inner").select("key", "copies", "component_id", "root"), "components")
+    linked = hot_join(full.where("n > 0"), named, "key", "copies", full.count()).select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "root")
+    return linked.unionByName(full.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("root")))
