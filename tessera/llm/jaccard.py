@@ -195,16 +195,19 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     """
     rows = with_row(docs, id_col, text_col)
     sets = materialize(describe(rows, k, percent), "sets")
-    full = materialize(sets.select("rid", "doc_id", "n", "key"), "rows")
+    full = materialize(sets.drop("tiles"), "rows")
     classes = materialize(full.where("n > 0").groupBy("key").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
 
-    reps = sets.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    spread = reps.select(F.explode("tiles").alias("tile"), "rid")
-    several = spread.groupBy("tile").agg(F.count("*").alias("size")).where("size > 1")
+    # one step after another, so that the shuffle files of one are gone when the next writes its own
+    reps = sets.select("rid", "tiles").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    spread = materialize(reps.select(F.explode("tiles").alias("tile"), "rid"), "tiles")
+    discard(sets)
+    several = materialize(spread.groupBy("tile").agg(F.count("*").alias("size")).where("size > 1"), "several")
     shared = materialize(spread.join(several.hint("shuffle_hash"), "tile"), "shared")
+    discard(spread)
+    discard(several)
     weight = shared.groupBy("rid").agg(F.sum(F.col("size") - 1).alias("w"))
-    info = materialize(sets.select("rid", "n", *SIG).join(weight, "rid"), "info")
-    discard(sets)
+    info = materialize(full.select("rid", "n", *SIG).join(weight, "rid"), "info")
 
     def meeting(pairs: DataFrame) -> DataFrame:
         """(a, b) of the distinct pairs that pass the bounds."""
@@ -213,12 +216,15 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
 
     # each class with the hub of each of its tiles
     hubs = shared.join(info.select("rid", "w"), "rid").groupBy("tile").agg(F.max(F.struct("w", "rid"))["rid"].alias("a"))
-    links = verified(meeting(shared.join(hubs, "tile").where("rid <> a").select("a", F.col("rid").alias("b"))), rows, k, percent)
+    others = materialize(shared.join(hubs, "tile").where("rid <> a"), "others")
+    discard(shared)
+    links = verified(meeting(others.select("a", F.col("rid").alias("b"))), rows, k, percent)
     roots = components(links)
     discard(links)
 
-    # tiles of several labels: the classes outside a tile's most frequent label with all classes of other labels
-    named = shared.select("tile", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("tile", "rid", F.coalesce("root", "rid").alias("label"))
+    # hubs are done; where the others of a tile have several labels, the classes outside the most frequent one meet all
+    # classes of other labels
+    named = others.where("size > 2").select("tile", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("tile", "rid", F.coalesce("root", "rid").alias("label"))
     by_label = named.groupBy("tile", "label").agg(F.count("*").alias("c"))
     apart_ = by_label.groupBy("tile").agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.sum("c").alias("size"), F.count("*").alias("labels")).where("labels > 1")
     mixed_ = materialize(named.join(apart_.select("tile", "top", F.ceil(F.col("size") / block).alias("blocks")), "tile"), "mixed")
@@ -229,7 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     links = verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows, k, percent)
     if not links.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-    for t in (shared, info, mixed_, links):
+    for t in (others, info, mixed_, links):
         discard(t)
 
     whole = classes.join(roots, classes.rep == roots.node, "left").select("key", "least", "copies", F.coalesce("root", "rep").alias("root"))
