@@ -160,6 +160,60 @@ def test_lm_learns_every_position(spark):
     assert got[1].score > got[1].base_score and got[4].score > got[4].base_score
 
 
+def test_lm_score_by_hand(spark, tmp_path):
+    """score against the model walked token by token in plain Python; all words and the end have probability one; other
+    partitions give the same scores."""
+    from math import log10
+
+    g = random.Random(9)
+    words = ["".join(g.choice("abcd") for _ in range(g.randint(1, 5))) for _ in range(60)]
+    rows = [(i, " ".join(g.choice(words[: 10 + i % 50]) for _ in range(g.randint(0, 30)))) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    how = {"vocab": 20, "dim": 4, "shard": 1000}
+    got = {r.doc_id: r.score for r in lm.score_texts(docs, **how).collect()}
+    docs.repartition(7).write.parquet(str(tmp_path / "e"))
+    again = {r.doc_id: r.score for r in lm.score_texts(spark.read.parquet(str(tmp_path / "e")), **how).collect()}
+    assert all(abs(got[i] - again[i]) < 1e-6 * (1 - got[i]) for i in got)
+
+    learn = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    model = lm.fit(spark.createDataFrame(learn, "doc_id long, text string"), **how)[4]
+    R, C1, C2, Q, b = (p.astype("f8") for p in model)
+    seen = Counter(w for _, t in learn for w in t.split())
+    hash_of = dict(zip(words, lm.word_hashes(lm.pa.array(words), True)[0].tolist()))
+    inner = sorted(seen, key=lambda w: (-seen[w], hash_of[w]))[:20]
+
+    def ending(w):
+        x = w.encode()
+        return ((x[-2] if len(x) > 1 else 0) * 256 + x[-1]) % lm.CLASSES
+
+    number = {w: 2 + i for i, w in enumerate(inner)}
+    left = Counter()
+    for w, c in seen.items():
+        if w not in number:
+            left[ending(w)] += c + 0.5
+
+    def share(w):
+        return (seen[w] + 0.5) / (left[ending(w)] + 0.5)
+
+    cls = {w: number.get(w, 22 + ending(w)) for w in words}
+
+    def probabilities(u, v):
+        x = np.exp((R[u] @ C2 + R[v] @ C1) @ Q.T + b)
+        return x / x.sum()
+
+    total = probabilities(5, 30)
+    assert abs(sum(total[cls[w]] * (1 if w in number else share(w)) for w in seen) + sum(total[22 + i] * (0.5 / (left[i] + 0.5)) for i in range(lm.CLASSES)) + total[0] + total[1] - 1) < 1e-9
+    for i, t in rows[:60]:
+        u = v = 1
+        want = 0.0
+        for w in [*t.split(), None]:
+            c = 1 if w is None else cls[w]
+            want += log10(probabilities(u, v)[c]) + (log10(share(w)) if w is not None and w not in number else 0)
+            u, v = (1, 1) if w is None else (v, c)
+        assert abs(got[i] - want) < 1e-3 * max(1, -want), (i, got[i], want)
+
+
 def test_lm_is_normalised():
     g = np.random.default_rng(0)
     params = [g.normal(size=(7, 3)), g.normal(size=(3, 3)), g.normal(size=(3, 3)), g.normal(size=(7, 3)), g.normal(size=7)]
