@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["shared_dir", "materialize", "discard", "free_shuffles", "fold_of", "documents", "with_row", "hot_join", "chunked"]
+__all__ = ["shared_dir", "delete_at_exit", "materialize", "discard", "free_shuffles", "fold_of", "documents", "with_row", "hot_join", "chunked"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,14 +32,17 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: a short lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    delete_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     del df

@@ -6,7 +6,7 @@ within it. Equal windows have equal anchors at equal places, so only anchors tha
 one anchor in one document are its context. Equal contexts are counted once (all their windows start earliest where
 the first of them does); where an anchor has contexts that differ, these are one small reference shard: they are
 added to a suffix automaton in document order, matching statistics of each give the earliest place of each window,
-and a bit says which windows of the context are found earlier. An anchor with more than `shard` different contexts,
+which say which windows of the context are found earlier. An anchor with more than `shard` different contexts,
 such as the edge of a passage that thousands share, is split further, by whole windows. Flagged windows are merged to
 maximal spans, document by document, and removed.
 
@@ -24,15 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import discard, free_shuffles, hot_join, materialize, shared_dir, with_row
-from .shingles import Hashes, mixed, rolled
-
-_HASHES = Hashes()
-
-
-def cut(text: str) -> list[bytes]:
-    """Runs without ASCII white space."""
-    return text.encode().split()
+from .common import delete_at_exit, discard, free_shuffles, hot_join, materialize, shared_dir, with_row
+from .shingles import mixed, rolled, slices, word_hashes
 
 
 def least_at(x: np.ndarray, w: int) -> np.ndarray:
@@ -60,11 +53,11 @@ def anchors(h: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray
 def find_anchors(rows: DataFrame, size: int, gram: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rid, text = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            for s in range(0, len(text), 1000):
-                got = [anchors(_HASHES.of(cut(t)), size, gram)[:2] for t in text[s : s + 1000]]
-                n = [len(x) for x, _ in got]
-                yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate([x for x, _ in got]).view("i8")), "rid": pa.array(np.repeat(rid[s : s + 1000], n)), "p": pa.array(np.concatenate([p for _, p in got]).astype("i4"))})
+            for part in slices(b, 1):
+                words, at = word_hashes(part.column(1), False)
+                got = [anchors(words[s:e], size, gram)[:2] for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+                rid = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x, _ in got])
+                yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate([x for x, _ in got]).view("i8")), "rid": pa.array(rid), "p": pa.array(np.concatenate([p for _, p in got]).astype("i4"))})
 
     return rows.select("rid", "text").mapInArrow(emit, "h long, rid long, p int")
 
@@ -74,16 +67,17 @@ def occurrences(docs: DataFrame, size: int, gram: int, kind: str) -> DataFrame:
     window, m: how many windows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, 2)):
             out: list[list] = [[] for _ in range(5)]
-            for i, (text, places) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                h = _HASHES.of(cut(text))
+            words, at = word_hashes(b.column(2), False)
+            for i, places in enumerate(b.column(3).to_pylist()):
+                h = words[at[i] : at[i + 1]]
                 g, p, s, m = anchors(h, size, gram)
                 keep = np.isin(p, places, assume_unique=True)
                 g, p, s, m = g[keep], p[keep], s[keep], m[keep]
                 w = rolled(h, size)
                 # windows of a context, with its place before the anchor, make its hash
-                code = mixed(w[s] ^ mixed((p - s).astype("u8") << np.uint64(8) | m.astype("u8")))
+                code = mixed(w[s] ^ mixed((p - s).astype("u8") << np.uint64(32) | m.astype("u8")))
                 code = mixed(code + mixed(w[s + m - 1] ^ g))
                 for a, x in zip(out, (np.full(len(g), i), g.view("i8"), code.view("i8"), s, m)):
                     a.append(x)
@@ -97,10 +91,11 @@ def contents(docs: DataFrame, size: int) -> DataFrame:
     """(h, c, rank, m, words, wins): the word hashes of the contexts named in `at`, and those of their windows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, 0)):
             out: list[list] = [[] for _ in range(5)]
-            for text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = _HASHES.of(cut(text))
+            every, ends = word_hashes(b.column(0), False)
+            for i, at in enumerate(b.column(1).to_pylist()):
+                h = every[ends[i] : ends[i + 1]]
                 w, low = rolled(h, size).view("i8"), (h & np.uint64(0x7FFFFFFF)).astype("i4")
                 for a in at:
                     s, m = a["s"], a["m"]
@@ -112,26 +107,24 @@ def contents(docs: DataFrame, size: int) -> DataFrame:
 
 
 def shards(contexts: DataFrame, size: int) -> DataFrame:
-    """(h, c, mask): which windows of a context occur in an earlier context of its anchor. Rows come by anchor and in
+    """(h, c, offs): which windows of a context occur in an earlier context of its anchor. Rows come by anchor and in
     document order; one automaton at a time is in memory, of one anchor's contexts."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sam = None, SuffixAutomaton()
         for b in batches:
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[int, int, list[int]]] = []
             for h, c, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if h != now:
                     now, sam = h, SuffixAutomaton()
-                mask = 0
-                if sam.size:
-                    for j, end in enumerate(sam.matches(words, size)):
-                        mask |= (end >= 0) << j
+                offs = [j for j, end in enumerate(sam.matches(words, size)) if end >= 0] if sam.size else []
                 sam.add(words)
-                out.append((h, c, mask))
-            h, c, mask = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h, pa.int64()), "c": pa.array(c, pa.int64()), "mask": pa.array(mask, pa.int64())})
+                if offs:
+                    out.append((h, c, offs))
+            h, c, offs = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h, pa.int64()), "c": pa.array(c, pa.int64()), "offs": pa.array(offs, pa.list_(pa.int32()))})
 
-    return contexts.mapInArrow(emit, "h long, c long, mask long")
+    return contexts.mapInArrow(emit, "h long, c long, offs array<int>")
 
 
 def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", shard: int = 2000) -> DataFrame:
@@ -161,6 +154,9 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 8, id_col: str =
     joined = rows.join(places, "rid", "left").repartition(n, "rid")
     joined.write.bucketBy(n, "rid").option("path", path).saveAsTable(table)
     texts = spark.table(table)
+    # what is planned on it goes on reading the files; the catalog keeps no entry
+    spark.sql(f"DROP TABLE {table}")
+    delete_at_exit(spark, path)
     del joined
     free_shuffles(spark)
 
@@ -175,17 +171,22 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 8, id_col: str =
     masks = shards(near, size)
     # anchors of very many contexts: each window's earliest context by aggregation
     wide = held.where(F.col("k") > shard).select("h", "c", "doc_id", "rid", "s", F.posexplode("wins").alias("j", "win"))
-    earliest = wide.groupBy("h", "win").agg(F.min(F.struct("doc_id", "rid", "s", "j", "c")).alias("e"), F.count("*").alias("k")).where("k > 1").select("h", "win", F.col("e.c").alias("first_c"))
-    later = wide.join(earliest, ["h", "win"]).where("c <> first_c").groupBy("h", "c").agg(F.sum(F.expr("shiftleft(1L, j)")).alias("mask"))
-    masks = materialize(masks.where("mask <> 0").unionByName(later), "masks")
+    wide = materialize(wide.select(F.struct("h", "win").alias("key"), "h", "c", "doc_id", "rid", "s", "j"), "wide")
+    earliest = wide.groupBy("key").agg(F.min(F.struct("doc_id", "rid", "s", "j", "c"))["c"].alias("first_c"), F.count("*").alias("times")).where("times > 1")
+    later = hot_join(wide.select("key", "h", "c", "j"), materialize(earliest, "earliest"), "key", "times", wide.count(), "inner")
+    later = later.where("c <> first_c").groupBy("h", "c").agg(F.collect_list(F.col("j").cast("int")).alias("offs"))
+    masks = materialize(masks.unionByName(later), "masks")
 
     # of a context's occurrences all but the first are repeats; of the first, the windows in its mask
-    known = firsts.join(masks, ["h", "c"], "left").select("h", "c", "n", F.col("rid").alias("first_rid"), F.col("s").alias("first_s"), F.coalesce("mask", F.lit(0)).alias("mask")).where("n > 1 or mask <> 0")
+    none = F.array().cast("array<int>")
+    known = firsts.join(masks, ["h", "c"], "left").select("h", "c", "n", F.col("rid").alias("first_rid"), F.col("s").alias("first_s"), F.coalesce("offs", none).alias("offs")).where("n > 1 or size(offs) > 0")
     known = materialize(known.withColumn("key", F.struct("h", "c")).drop("h", "c"), "known")
     again = hot_join(seen.select(F.struct("h", "c").alias("key"), "rid", "s", "m"), known, "key", "n", seen.count(), "inner")
-    full = F.expr("shiftleft(1L, m) - 1")
-    again = again.select("rid", "s", F.when((F.col("rid") == F.col("first_rid")) & (F.col("s") == F.col("first_s")), F.col("mask")).otherwise(full).alias("mask")).where("mask <> 0")
-    spans = materialize(again.groupBy("rid").agg(F.collect_list(F.struct("s", "mask")).alias("spans")), "spans")
+    offs = F.when((F.col("rid") == F.col("first_rid")) & (F.col("s") == F.col("first_s")), F.col("offs")).otherwise(F.sequence(F.lit(0), F.col("m") - 1))
+    starts = again.select("rid", F.transform(offs, lambda o: F.col("s") + o).alias("at")).where("size(at) > 0")
+    spans = materialize(starts.groupBy("rid").agg(F.flatten(F.collect_list("at")).alias("starts")), "spans")
+    for t in (firsts, many, known, masks, wide, places):
+        discard(t)
     discard(seen)
     discard(held)
 
@@ -194,18 +195,12 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 8, id_col: str =
             for o in range(0, b.num_rows, 500):
                 part = b.slice(o, 500)
                 words, gone, kept = [], [], []
-                for text, spans_ in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                for text, starts_ in zip(part.column(2).to_pylist(), part.column(3)):
                     w = text.encode().split()
                     words.append(len(w))
-                    if spans_:
-                        edge = np.zeros(len(w) + 1, "i4")
-                        for x in spans_:
-                            s, mask = x["s"], x["mask"]
-                            while mask:
-                                j = (mask & -mask).bit_length() - 1
-                                edge[s + j] += 1
-                                edge[s + j + size] -= 1
-                                mask &= mask - 1
+                    at = starts_.values.to_numpy() if starts_.is_valid else ()
+                    if len(at):
+                        edge = np.bincount(at, minlength=len(w) + 1) - np.bincount(at + size, minlength=len(w) + 1)
                         stay = np.cumsum(edge[:-1]) == 0
                         gone.append(len(w) - int(stay.sum()))
                         w = [x for x, k in zip(w, stay.tolist()) if k]

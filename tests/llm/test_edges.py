@@ -300,6 +300,12 @@ def test_substring(docs, none):
     for shard in (2000, 1):  # anchors of many contexts go another way
         assert count(substring.remove_repeats(docs, shard=shard), "doc_id", "n_words", "n_removed", "kept") == want
     assert substring.remove_repeats(none).count() == 0
+    # windows of more words than a machine word has bits
+    for size in (1, 100):
+        want = Counter(brute_repeats([(i, t) for _, i, t in in_order], size))
+        got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(docs, size=size, gram=min(size, 8)).collect())
+        assert got == want
+    assert not [t for t in docs.sparkSession.catalog.listTables() if t.name.startswith("tessera")]
 
 
 def test_decontamination(spark, docs, none, rows):
