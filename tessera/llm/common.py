@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["shared_dir", "delete_at_exit", "materialize", "discard", "free_shuffles", "fold_of", "documents", "with_row", "hot_join", "chunked"]
+__all__ = ["shared_dir", "delete_at_exit", "materialize", "discard", "free_shuffles", "fold_of", "documents", "settled", "with_row", "hot_join", "chunked"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,11 +66,26 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: What a scan, and columns and rows of it, are called in Spark's logical plans: these come the same way each time.
+SCANS = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias"}
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """docs, if it is columns and rows of a table, else a written copy: its rows come in the same order whenever they are
+    read, also after an executor is lost, so that they can be numbered."""
+
+    def kinds(plan) -> set[str]:
+        children = plan.children()
+        return {plan.nodeName()}.union(*(kinds(children.apply(i)) for i in range(children.size())))
+
+    return docs if kinds(docs._jdf.queryExecution().optimizedPlan()) <= SCANS else materialize(docs, "settled")
+
+
 def with_row(docs: DataFrame, id_col: str, text_col: str, keep_null: bool = False) -> DataFrame:
-    """(rid, doc_id, text) of a table: only these columns, so that others may have any name. rid tells repeated rows
-    apart; it is stable for a table scan, which is dealt the same way each time it is read."""
+    """(rid, doc_id, text) of a table: only these columns, so that others may have any name. rid, the row's number, tells
+    repeated rows apart; the same numbers come again for the same settled frame."""
     text = F.col(text_col).cast("string")
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), (text if keep_null else F.coalesce(text, F.lit(""))).alias("text"))
+    return settled(docs).select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), (text if keep_null else F.coalesce(text, F.lit(""))).alias("text"))
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "left", share: int = 200) -> DataFrame:
