@@ -97,15 +97,23 @@ def on_list(v: Column, people: Iterable[str] | None) -> Column | None:
     return v.isin(names) if names else None
 
 
-def with_people(df: DataFrame, names: list[str], people: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+def own_prefix(columns: list[str]) -> str:
+    """What no column of a table begins with, whatever its case."""
+    out = "_"
+    while any(c.lower().startswith(out) for c in columns):
+        out += "_"
+    return out
+
+
+def with_people(df: DataFrame, names: list[str], people: DataFrame, own: str) -> tuple[DataFrame, dict[str, str]]:
     """Flags for a long person list: a left join for each column on its stripped value, by broadcast or shuffle as
     Spark sees the list's size."""
     flags = {}
     listed = people.select(trim(F.col(people.columns[0])).alias("_person")).where("_person <> ''").distinct()
     for i, n in enumerate(names):
-        flags[n] = f"_listed_{i}"
-        side = listed.select(F.col("_person").alias(f"_p{i}"), F.lit(True).alias(flags[n]))
-        df = df.join(side, trim(col(n)) == F.col(f"_p{i}"), "left").drop(f"_p{i}")
+        flags[n] = f"{own}listed_{i}"
+        side = listed.select(F.col("_person").alias(f"{own}p{i}"), F.lit(True).alias(flags[n]))
+        df = df.join(side, trim(col(n)) == F.col(f"{own}p{i}"), "left").drop(f"{own}p{i}")
     return df, flags
 
 
@@ -119,6 +127,7 @@ def apply_rules(df: DataFrame, rules: RuleSet, pepper: str | None = None, value_
     """
     key = pseudonym_key(pepper) if pepper else None
     columns, counters = df.columns, []
+    own = own_prefix(columns)
     for s in rules.specs:
         if s.column not in columns:
             raise ValueError(f"no column {s.column!r}")
@@ -138,7 +147,7 @@ def apply_rules(df: DataFrame, rules: RuleSet, pepper: str | None = None, value_
             (later.append(s) if s.column in now else now.update({s.column: s}))
         text = {c: col(c).cast("string") for c in now}
         out = {c: apply_rule(rules.rules[s.rule], s.strategy, text[c], key) for c, s in now.items()}
-        marks = {f"_changed_{len(counters) + i}": (out[c] != text[c]).cast("int") for i, c in enumerate(now)}
+        marks = {f"{own}changed_{len(counters) + i}": (out[c] != text[c]).cast("int") for i, c in enumerate(now)}
         df = df.select(*((out[c].alias(c) if c in out else col(c)) for c in columns), *map(F.col, counters), *(x.alias(m) for m, x in marks.items()))
         counters += marks
         rest = later
@@ -147,13 +156,13 @@ def apply_rules(df: DataFrame, rules: RuleSet, pepper: str | None = None, value_
     if open_ and (value_rules(rules) or "name" in rules.rules):
         flags: dict[str, str] = {}
         if isinstance(people, DataFrame):
-            df, flags = with_people(df, open_, people)
+            df, flags = with_people(df, open_, people, own)
         elif people is not None and len(people := set(people)) > IN_LIST:
-            df, flags = with_people(df, open_, df.sparkSession.createDataFrame([(p,) for p in people], "name string"))
-        names = {c: f"_trim_{i}" for i, c in enumerate(open_)}
+            df, flags = with_people(df, open_, df.sparkSession.createDataFrame([(p,) for p in people], "name string"), own)
+        names = {c: f"{own}trim_{i}" for i, c in enumerate(open_)}
         # stripped values and rules are columns of their own, so that no expression is written out several times
         df = df.select("*", *(trim(col(c)).alias(names[c]) for c in open_))
-        found = {c: f"_rule_{i}" for i, c in enumerate(open_)}
+        found = {c: f"{own}rule_{i}" for i, c in enumerate(open_)}
         listed = {c: (F.coalesce(F.col(flags[c]), F.lit(False)) if flags else on_list(F.col(names[c]), people)) for c in open_}
         df = df.select("*", *(value_rule(F.col(names[c]), rules, listed[c]).alias(found[c]) for c in open_))
         out = {}
@@ -164,7 +173,7 @@ def apply_rules(df: DataFrame, rules: RuleSet, pepper: str | None = None, value_
                 if not needs_key(r.mask) or key is not None:
                     hit = F.when(F.col(found[c]) == r.name, apply_rule(r, "mask", v, key)).otherwise(hit)
             out[c] = F.when(v == "", F.lit("")).when(F.col(found[c]).isNotNull(), hit).otherwise(col(c))
-        marks = {f"_changed_{len(counters) + i}": (F.col(found[c]).isNotNull() & (out[c] != F.col(names[c]))).cast("int") for i, c in enumerate(open_)}
+        marks = {f"{own}changed_{len(counters) + i}": (F.col(found[c]).isNotNull() & (out[c] != F.col(names[c]))).cast("int") for i, c in enumerate(open_)}
         df = df.select(*((out[c].alias(c) if c in out else col(c)) for c in columns), *map(F.col, counters), *(x.alias(m) for m, x in marks.items()))
         counters += marks
     return Masked(df, columns, counters, list(rules.specs))

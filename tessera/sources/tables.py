@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import io
 import re
-import shutil
-import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -13,7 +12,7 @@ from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -202,25 +201,39 @@ def write_folder(df: DataFrame, path: str, kind: str) -> None:
 
 
 def write_single(df: DataFrame, path: str, kind: str) -> None:
-    """One file in the order of the rows: parts are written in parallel to a folder beside it and put together."""
-    target = Path(path)
+    """One file in the order of the rows: parts are written in parallel to a folder that the executors share with the
+    driver (in spark.checkpoint.dir, or beside the target where that is unset) and put together. Rows without parts to
+    be seen here are an error, not an empty file."""
+    spark, target = df.sparkSession, Path(path.removeprefix("file://"))
     target.parent.mkdir(parents=True, exist_ok=True)
-    tmp = tempfile.mkdtemp(dir=target.parent)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/') if shared else target.parent.resolve().as_uri()}/tessera-{uuid.uuid4().hex}")
+    fs, seen = folder.getFileSystem(conf), Observation()
     try:
-        w = df.write.mode("overwrite")
-        w.option("header", False).option("escape", '"').csv(tmp) if kind == "csv" else w.option("ignoreNullFields", False).json(tmp)
-        with open(target, "wb") as out:
+        w = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+        w.option("header", False).option("escape", '"').csv(folder.toString()) if kind == "csv" else w.option("ignoreNullFields", False).json(folder.toString())
+        parts = sorted((p for p in fs.listStatus(folder) if p.getPath().getName().startswith("part-")), key=lambda p: p.getPath().getName())
+        if seen.get["rows"] and not any(p.getLen() for p in parts):
+            raise OSError(f"the driver sees no parts in {folder.toString()}; set spark.checkpoint.dir to a shared folder")
+        out = jvm.java.io.FileOutputStream(str(target.resolve()))
+        try:
             if kind == "csv":
                 import csv
 
                 head = io.StringIO()
                 csv.writer(head, lineterminator="\n").writerow(df.columns)
                 out.write(head.getvalue().encode())
-            for p in sorted(Path(tmp).glob("part-*")):
-                with open(p, "rb") as f:
-                    shutil.copyfileobj(f, out)
+            for p in parts:
+                part = fs.open(p.getPath())
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                finally:
+                    part.close()
+        finally:
+            out.close()
     finally:
-        shutil.rmtree(tmp, ignore_errors=True)
+        fs.delete(folder, True)
 
 
 def read_people(spark: SparkSession, path: str) -> DataFrame:
