@@ -119,19 +119,22 @@ def tile_keys(x: np.ndarray, doc: np.ndarray, n: np.ndarray, sets: list[np.ndarr
 
 
 def describe(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """(rid, doc_id, n, key, tiles, s0..s3) of each row."""
+    """(rid, doc_id, n, key, tiles, s0..s3) of each row; the later ones of equal sets of a task have no tiles."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
+        bands, seen = Bands(percent), set()
         for b in batches:
             for part in slices(b, 2):
                 sets = shingle_sets(part.column(2), k)
                 n = np.array([len(v) for v in sets])
                 x, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
                 at, keys = tile_keys(x, doc, n, sets, bands)
-                ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(sets)))))
                 names = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() if len(v) else None for v in sets]
+                # the first of equal sets in a task stands for all of them
+                first = np.array([not (v in seen or seen.add(v)) for v in names], bool)
+                at, keys = at[first[at]], keys[first[at]]
+                ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(sets)))))
                 sig = signatures(x, doc, len(sets))
                 tiles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(names, pa.binary()), tiles, *(pa.array(np.ascontiguousarray(sig[:, i])) for i in range(4))], ["rid", "doc_id", "n", "key", "tiles", *SIG])
@@ -198,14 +201,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     full = materialize(sets.drop("tiles"), "rows")
     classes = materialize(full.where("n > 0").groupBy("key").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
 
-    # one step after another, so that the shuffle files of one are gone when the next writes its own
-    reps = sets.select("rid", "tiles").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    spread = materialize(reps.select(F.explode("tiles").alias("tile"), "rid"), "tiles")
+    # one step after another, so that the shuffle files of one are gone when the next writes its own; copies within a
+    # task have no tiles, those of other tasks leave once only the tiles that several rows share are left
+    spread = sets.select(F.explode("tiles").alias("tile"), "rid")
+    several = materialize(spread.groupBy("tile").agg(F.count("*").alias("size")).where("size > 1").select("tile"), "several")
+    held = materialize(spread.join(several.hint("shuffle_hash"), "tile", "left_semi"), "held")
     discard(sets)
-    several = materialize(spread.groupBy("tile").agg(F.count("*").alias("size")).where("size > 1"), "several")
-    shared = materialize(spread.join(several.hint("shuffle_hash"), "tile"), "shared")
-    discard(spread)
     discard(several)
+    own = materialize(held.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi"), "own")
+    discard(held)
+    shared = materialize(own.join(own.groupBy("tile").agg(F.count("*").alias("size")).where("size > 1"), "tile"), "shared")
+    discard(own)
     weight = shared.groupBy("rid").agg(F.sum(F.col("size") - 1).alias("w"))
     info = materialize(full.select("rid", "n", *SIG).join(weight, "rid"), "info")
 
