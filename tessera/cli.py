@@ -35,21 +35,51 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--seed", type=int, default=42)
     r = sub.add_parser("rules", help="show or generate rules")
     r.add_argument("action", choices=("list", "generate"))
+    r.add_argument("request", nargs="?", help="what to mask, in words (generate)")
     r.add_argument("--rules")
+    r.add_argument("-i", "--input", help="a document that says what to mask (generate)")
+    r.add_argument("-o", "--output", default="rules-generated.yaml")
+    r.add_argument("--dry-run", action="store_true", help="show, but write nothing")
+    r.add_argument("-y", "--yes", action="store_true", help="write without asking")
     a = sub.add_parser("audit", help="show the last runs")
     a.add_argument("--limit", type=int, default=50)
     return p
 
 
+def generate(args: argparse.Namespace, ask=None) -> None:
+    """Rules from words or a document, by the callable in TESSERA_ASK (module:function) unless one is given. They are
+    checked, shown, and written once that is agreed to."""
+    from importlib import import_module
+    from pathlib import Path
+
+    from .plans.rulesets import generate_rules
+    from .sources.documents import units_of
+
+    if bool(args.request) == bool(args.input):
+        raise ValueError("say what to mask, either in words or by --input")
+    if ask is None:
+        module, _, name = os.environ.get("TESSERA_ASK", "").partition(":")
+        if not name:
+            raise ValueError("no language model is configured: set TESSERA_ASK to module:function")
+        ask = getattr(import_module(module), name)
+    text = generate_rules(ask, args.request or "\n".join(t for _, t in units_of(args.input, Path(args.input).read_bytes())))
+    print(text.strip())
+    if args.dry_run:
+        return
+    if not args.yes and input(f"write {args.output}? [y/N] ").strip().lower() not in ("y", "yes"):
+        print("not written")
+        return
+    Path(args.output).write_text(text, "utf-8")
+    print(f"written: {args.output}")
+
+
 def run(args: argparse.Namespace, ask=None) -> None:
     from .rules import list_rules, load_rules
     from .sources import audit
 
     if args.command == "rules":
         if args.action == "generate":
-            if ask is None:
-                raise ValueError("no language model is configured; call plans.rulesets.generate_rules with one")
-            return
+            return generate(args, ask)
         for r in list_rules(load_rules(args.rules)):
             print(f"{r['name']}\t{r['version']}\t{r['match']}\t{r['mask']}" + "\t(off)" * r["default_disabled"])
         return

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .functions.normalize import trace
 from .operators.masking import apply_rules, mask_table
 from .operators.text import mask_text
+from .plans.files import mask_folder
 from .queries import MIXED, PEOPLE, RULED, K, S, mask_sql, people, query, table
 from .rules import BUILTIN, RuleSet, default_rules
 from .sources.documents import read_units
@@ -51,6 +52,16 @@ def csv_mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, f"{at}/out.csv")
 
 
+@query("csv_folder_mask", TEXT)
+def csv_folder_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of folders of CSV files masked in one job, split among tasks."""
+    at = work(spark)
+    for i, part in enumerate(people(spark, sf_dir).randomSplit([1.0, 1.0], 7)):
+        write_folder(part, f"{at}/in/{i}", "csv")
+    mask_folder(spark, f"{at}/in", f"{at}/out", multiline=False)
+    return read_csv(spark, f"{at}/out")
+
+
 @query("json_mask_round_trip", TEXT)
 def json_mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = work(spark)

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.crypto import pseudonym_key
@@ -45,6 +45,12 @@ class Masked:
     def counts(self) -> Column:
         return sum((F.coalesce(F.col(c), F.lit(0)) for c in self.counters), F.lit(0)).cast("long")
 
+    def observed(self) -> tuple[DataFrame, Observation]:
+        """The frame, and an observation that holds its `rows` and changed cells `n` once it has been written."""
+        seen = Observation()
+        work = self.work.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(self.counts()), F.lit(0)).alias("n"))
+        return work.select(*map(col, self.columns)), seen
+
     def count(self) -> int:
         return self.work.agg(F.coalesce(F.sum(self.counts()), F.lit(0)).alias("n")).first().n
 

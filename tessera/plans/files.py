@@ -71,8 +71,9 @@ def mask_path(spark: SparkSession, source: str, target: str, rules: RuleSet | No
     if kind in (".csv", ".json", ".jsonl", ".ndjson"):
         df = tables.read_csv(spark, str(source), encoding) if kind == ".csv" else tables.read_json(spark, str(source))
         m = mask_table(df, rules, pepper, people=people)
-        tables.write_single(m.frame, str(target), "csv" if kind == ".csv" else "json")
-        stats = m.stats()
+        frame, seen = m.observed()
+        tables.write_single(frame, str(target), "csv" if kind == ".csv" else "json")
+        stats = MaskStats(seen.get["rows"], seen.get["n"], 1)
         return Result(stats.processed, stats)
     if kind in (".xlsx", ".xls"):
         done, stats, rows = {}, MaskStats(), {}
@@ -84,15 +85,37 @@ def mask_path(spark: SparkSession, source: str, target: str, rules: RuleSet | No
         return Result(sum(rows.values()), stats, rows)
     if kind in documents.MASKERS:
         people = set(people) if people is not None else None
-        data, n = documents.MASKERS[kind](Path(source).read_bytes(), lambda t: mask_text_value(t, rules, pepper, strategy, scan_names, people))
+        texts = changed = 0
+
+        def masked(text: str) -> str:
+            nonlocal texts, changed
+            new = mask_text_value(text, rules, pepper, strategy, scan_names, people)
+            texts, changed = texts + 1, changed + (new != text)
+            return new
+
+        data, n = documents.MASKERS[kind](Path(source).read_bytes(), masked)
         Path(target).parent.mkdir(parents=True, exist_ok=True)
         Path(target).write_bytes(data)
-        return Result(n, MaskStats(n, 0, 1))
+        return Result(n, MaskStats(texts, changed, 1))
     if kind in IMAGES:
         raise ValueError("images need recognised words; see sources.documents.sensitive_band" if images else "images are beta: pass images=True")
     raise ValueError(f"no way to mask {kind or 'files without extension'}")
 
 
+def mask_folder(spark: SparkSession, source: str, target: str, rules: RuleSet | None = None, pepper: str | None = None, people: Iterable[str] | None = None, encoding: str = "utf-8", multiline: bool = True) -> Result:
+    """Mask all CSV files of a folder (and of folders in it), which have one header, in one job to a folder of part
+    files; the plan runs once and no row passes through the driver. Paths are of any store that Spark reaches. Files
+    of another header, and a folder without rows, are a ValueError or Spark's own error; a target that is the source
+    is refused."""
+    if source.rstrip("/") == target.rstrip("/"):
+        raise ValueError("a folder cannot be masked onto itself")
+    m = mask_table(tables.read_csv(spark, source, encoding, multiline=multiline, only="*.csv"), rules or default_rules(), pepper, people=people)
+    frame, seen = m.observed()
+    tables.write_folder(frame, target, "csv")
+    stats = MaskStats(seen.get["rows"], seen.get["n"], 0)
+    return Result(stats.processed, stats)
+
+
 def preview_path(spark: SparkSession, source: str, rules: RuleSet | None = None, pepper: str | None = None, people: Iterable[str] | None = None, encoding: str = "utf-8") -> dict:
     """Dry run over the first 500 rows of each table of a file: {columns, total_hits, total_cells}."""
     rules = rules or default_rules()

@@ -87,6 +87,25 @@ class RuleSets:
         self.switch(name)
         return name
 
+    def migrate(self, path: str | Path, name: str = "mine") -> str | None:
+        """Make an old single file of own rules the set `name` and put the file aside as .bak, so that this happens once.
+        No file: nothing happens. A file without rules, or that is no YAML, is put aside without a set. Rules that
+        are not valid, and a set of that name that is already there, are a ValueError, and the file stays."""
+        old = Path(path)
+        if not old.exists():
+            return None
+        try:
+            data = yaml.safe_load(old.read_text("utf-8"))
+        except (yaml.YAMLError, UnicodeDecodeError):
+            data = None
+        own = (data.get("rule_defs") if isinstance(data, dict) else None) or {}
+        if own:
+            if name in self.names():
+                raise ValueError(f"there is a rule set {name!r} already")
+            self.save(name, own)
+        old.rename(old.with_suffix(".bak"))
+        return name if own else None
+
     def shown(self, name: str | None = None) -> list[dict]:
         return list_rules(self.load(name))
 

@@ -161,6 +161,11 @@ def match_columns(columns: Iterable[str], rules: RuleSet | None = None) -> list[
     return out
 
 
+def matches(columns: Iterable[str], rules: RuleSet | None = None) -> list[dict[str, str]]:
+    """match_columns as plain mappings, which can be written as JSON or YAML and read back as a mapping."""
+    return [{"column": s.column, "rule": s.rule, "strategy": s.strategy} for s in match_columns(columns, rules)]
+
+
 def effective_specs(columns: list[str], rules: RuleSet) -> list[Spec]:
     """Specs whose column exists; a required one that does not is an error. If none is left and all are optional,
     columns are matched by name."""

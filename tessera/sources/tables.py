@@ -24,18 +24,19 @@ def _there(path: str) -> None:
         raise FileNotFoundError(f"no file {path}")
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", infer_types: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", infer_types: bool = False, multiline: bool = True, only: str | None = None) -> DataFrame:
     """All columns as text, so that 00123 stays; infer_types loses such zeros. Encodings that Spark's reader refuses
-    (gbk, gb18030) are decoded from whole files."""
+    (gbk, gb18030) are decoded from whole files. Where no cell holds a line break, multiline=False lets large files be
+    split among tasks. only: a pattern of the file names to read of a folder and the folders in it."""
     _there(path)
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "inferSchema": False, "enforceSchema": False}
+    options = {"header": True, "quote": '"', "escape": '"', "inferSchema": False, "enforceSchema": False} | {"multiLine": multiline} | ({"pathGlobFilter": only, "recursiveFileLookup": True} if only else {})
     kind = {"utf8": "UTF-8", "utf-8": "UTF-8"}.get(encoding.lower(), encoding)
     if kind.upper() in ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"):
         df = spark.read.options(**options, encoding=kind).csv(path)
     else:
         import csv
 
-        raw = spark.read.format("binaryFile").load(path).orderBy("path").select("content").toLocalIterator()
+        raw = spark.read.options(**({"pathGlobFilter": only, "recursiveFileLookup": True} if only else {})).format("binaryFile").load(path).orderBy("path").select("content").toLocalIterator()
         files = [rows for r in raw if (rows := list(csv.reader(io.StringIO(bytes(r.content).decode(encoding), newline=""))))]
         if not files:
             raise ValueError(f"no data in {path}")

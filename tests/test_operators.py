@@ -15,9 +15,9 @@ from tessera.operators.masking import apply_rules, mask_table
 from tessera.operators.preview import preview
 from tessera.operators.stats import MaskStats
 from tessera.operators.text import mask_text, mask_text_value
-from tessera.plans.files import discover, mask_path, output_path, preview_path, validate
+from tessera.plans.files import discover, mask_folder, mask_path, output_path, preview_path, validate
 from tessera.plans.rulesets import RuleSets, generate_rules
-from tessera.rules import BUILTIN, RuleSet, Spec, default_rules, parse_rules
+from tessera.rules import BUILTIN, RuleSet, Spec, default_rules, matches, parse_rules
 from tessera.sources import audit, documents, tables
 
 EIGHT = "name string, email string, ip string, phone string, employee_id string, account string, company string, app_version string"
@@ -183,7 +183,8 @@ def test_mail_and_word(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
         z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>mail a@</w:t></w:r><w:r><w:t>b.com</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>1.2.3.4</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>")
-    assert mask_path(spark, str(tmp_path / "a.docx"), str(tmp_path / "b.docx")).rows == 2
+    done = mask_path(spark, str(tmp_path / "a.docx"), str(tmp_path / "b.docx"))
+    assert done.rows == 2 and done.stats == MaskStats(2, 2, 1)
     assert [t for _, t in documents.units_of("b.docx", (tmp_path / "b.docx").read_bytes())] == ["mail a***@b.com", "*.*.*.*"]
     units = documents.read_units(spark, str(tmp_path / "a.*"))
     assert units.where("kind = 'cell'").first().text == "1.2.3.4"
@@ -234,6 +235,54 @@ def test_rulesets_and_audit(tmp_path, spark):
     assert audit.scan_log(spark, str(log)).count() == 3
 
 
+def test_csv_folder(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    write(tmp_path / "in" / "a.csv", "name,phone\n张伟,13800000000\n")
+    write(tmp_path / "in" / "deep" / "b.csv", "name,phone\n王芳,\n李娜,13900000001\n")
+    write(tmp_path / "in" / "notes.txt", "left alone\n")
+    done = mask_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert (done.rows, done.stats.masked) == (3, 5)
+    rows = sorted(tuple(r) for r in tables.read_csv(spark, str(tmp_path / "out"), multiline=False).collect())
+    assert {r[1] for r in rows} == {"139****0001", None, "138****0000"}
+    with pytest.raises(ValueError):
+        mask_folder(spark, str(tmp_path / "in"), str(tmp_path / "in") + "/")
+
+
+def test_matches():
+    assert matches(["Phone_No", "x", "e-mail"]) == [{"column": "Phone_No", "rule": "phone", "strategy": "mask"}, {"column": "e-mail", "rule": "email", "strategy": "mask"}]
+    assert json.loads(json.dumps(matches([]))) == []
+
+
+def test_old_rules_file(tmp_path):
+    sets, old = RuleSets(tmp_path / "r"), tmp_path / "old.yaml"
+    assert sets.migrate(old) is None
+    write(old, "rule_defs:\n  tin: {match: x, mask: y, pseudo: z}\n")
+    assert sets.migrate(old) == "mine" and "tin" in sets.load("mine").rules and not old.exists() and (tmp_path / "old.bak").exists()
+    write(old, "rule_defs:\n  tin: {match: x, mask: y, pseudo: z}\n")
+    with pytest.raises(ValueError):
+        sets.migrate(old)
+    assert old.exists()
+    for text in ("a: [", "", "rule_defs: {}\n"):
+        write(old, text)
+        assert sets.migrate(old, "other") is None and not old.exists()
+
+
+def test_generate_command(tmp_path, monkeypatch, capsys):
+    from tessera import cli
+
+    (tmp_path / "asked.py").write_text("def ask(prompt):\n    return 'rule_defs: {}' if 'tax numbers' in prompt else 'rule_defs: ['\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    out = tmp_path / "out.yaml"
+    assert cli.main(["rules", "generate", "tax numbers", "-o", str(out), "-y"]) == 2
+    monkeypatch.setenv("TESSERA_ASK", "asked:ask")
+    assert cli.main(["rules", "generate"]) == 2 and cli.main(["rules", "generate", "else", "-y", "-o", str(out)]) == 2
+    assert cli.main(["rules", "generate", "tax numbers", "--dry-run", "-o", str(out)]) == 0 and not out.exists()
+    monkeypatch.setattr("builtins.input", lambda _: "n")
+    assert cli.main(["rules", "generate", "tax numbers", "-o", str(out)]) == 0 and not out.exists()
+    (tmp_path / "want.txt").write_text("mask tax numbers")
+    assert cli.main(["rules", "generate", "-i", str(tmp_path / "want.txt"), "-o", str(out), "-y"]) == 0 and out.read_text() == "rule_defs: {}"
+
+
 def test_stream(spark, tmp_path):
     from tessera.streaming.masking import mask_stream, write_stream
 
