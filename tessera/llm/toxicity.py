@@ -175,15 +175,17 @@ class Index:
         return have[1] / (have[0] + have[1]) if have[0] + have[1] > 0 else None
 
     def calibrate(self, keys: list[tuple]) -> None:
-        points = []
+        points: dict[float, list[float]] = {}  # equal votes are one point, whatever their labels
         for i, key in enumerate(keys):
             near = self.nearest(key)
             for label in (0, 1):
                 if self.count[i, label] and (v := self.vote(near, (i, label))) is not None:
                     w = self.count[i, label] * self.weight[label]
-                    points.append((v, w * label, w))
+                    at = points.setdefault(round(v, 12), [0.0, 0.0])
+                    at[0] += w * label
+                    at[1] += w
         pools: list[list[float]] = []
-        for v, good, w in sorted(points):
+        for v, (good, w) in sorted(points.items()):
             pools.append([v, good, w])
             while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
                 last = pools.pop()
@@ -202,7 +204,7 @@ class Index:
             if v is None or not self.steps:
                 p = self.base if v is None else v
             else:
-                p = self.values[max(bisect_right(self.steps, v) - 1, 0)]
+                p = self.values[max(bisect_right(self.steps, round(v, 12)) - 1, 0)]
             got = (min(max(p, 0.0), 1.0), near[:3])
             if len(self.kept) > 50_000:
                 self.kept.clear()

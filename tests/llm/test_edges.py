@@ -447,3 +447,60 @@ def test_block_max_search_is_exact():
         cos = dense @ q
         best = sorted(((-round(float(c), 12), i) for i, c in enumerate(cos) if c > 0))[:7]
         assert [round(s, 9) for s, _ in index.nearest(key)] == [round(-s, 9) for s, _ in best]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_toxicity_scores_against_all_pairs(seed):
+    """Every score again by plain Python: all cosines, the vote, and the calibration as the greatest of the least means."""
+    import random
+    from collections import Counter
+    from math import log, sqrt
+
+    rng, k, weight = random.Random(seed), 5, (1.0, 2.5)
+    words = [f"w{i}" for i in range(25)]
+    made = [" ".join(rng.choices(words, [3 if (i < 8) == (y == 1) else 1 for i in range(25)], k=rng.randint(0, 6))) for y in (0, 1) for _ in range(90)]
+    toxic = [0] * 90 + [1] * 90
+    index = toxicity.Index(made, toxic, list(range(180)), weight, 0.5, 100, k)
+    idf = {t: index.idf[i] for t, i in index.number.items()}
+
+    def vector(text):
+        c = Counter(t for t in text.split() if t in idf)
+        x = {t: (1 + log(n)) * idf[t] for t, n in c.items()}
+        size = sqrt(sum(v * v for v in x.values()))
+        return {t: v / size for t, v in x.items()}
+
+    entries = [vector(made[e[2]]) for e in index.entries]
+    have = [[0, 0] for _ in entries]
+    bags = {frozenset(Counter(t for t in made[e[2]].split() if t in idf).items()): j for j, e in enumerate(index.entries)}
+    for t, y in zip(made, toxic):
+        if (bag := frozenset(Counter(w for w in t.split() if w in idf).items())) in bags:
+            have[bags[bag]][y] += 1
+
+    def vote(x, less=None):
+        cosines = sorted((-round(s, 12), j) for j, e in enumerate(entries) if (s := sum(v * e.get(t, 0.0) for t, v in x.items())) > 0)[:k]
+        side = [0.0, 0.0]
+        for s, j in cosines:
+            for y in (0, 1):
+                side[y] += (have[j][y] - (less == (j, y))) * weight[y] / (1.05 + s)
+        return side[1] / sum(side) if sum(side) > 0 else None
+
+    points = Counter()
+    for j, x in enumerate(entries):
+        for y in (0, 1):
+            if have[j][y] and (v := vote(x, (j, y))) is not None:
+                points[round(v, 9), y] += have[j][y] * weight[y]
+    at = sorted({v for v, _ in points})
+    good, all_ = [points[v, 1] for v in at], [points[v, 0] + points[v, 1] for v in at]
+    n = len(at)
+    means = [[(sum(good[a : b + 1]) / sum(all_[a : b + 1])) if b >= a else 0 for b in range(n)] for a in range(n)]
+    fit = [max(min(means[a][i:]) for a in range(i + 1)) for i in range(n)]
+    for text in made:
+        x = vector(text)
+        if not x:
+            assert index.score(text)[0] == index.base
+            continue
+        v = round(vote(x), 9)
+        i = max([i for i in range(n) if at[i] <= v], default=0)
+        same = [j for j in range(n) if abs(fit[j] - fit[i]) < 1e-12]
+        want = (sum(good[j] for j in same) + 0.02) / (sum(all_[j] for j in same) + 0.04)
+        assert index.score(text)[0] == pytest.approx(want, abs=1e-6)
