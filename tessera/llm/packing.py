@@ -99,7 +99,11 @@ def completions(counts: np.ndarray, room: int, width: int, steps: int) -> list[l
 
 @dataclass
 class Search:
-    """Depth-first bin completion on a histogram; each step repeats a filling as often as the counts allow."""
+    """Depth-first bin completion on a histogram; each step repeats a filling as often as the counts allow.
+
+    The search takes up to `nodes` steps, `width` fillings at each, found in `steps` steps among the longest lengths
+    that fit. `least` is a lower bound on the sequences; where `bins` equals it, the solution is proven least.
+    """
 
     size: int
     nodes: int = 20_000
@@ -107,44 +111,50 @@ class Search:
     steps: int = 300
     best: list[tuple[Filling, int]] = field(default_factory=list)
     bins: int = 0
+    least: int = 0
+
+    def fillings(self, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+        """(lengths, times, bins, waste) of each filling around the largest length that is left."""
+        top = int(np.flatnonzero(left)[-1])
+        left[top] -= 1
+        options = completions(left, self.size - top, self.width, self.steps)
+        left[top] += 1
+        for o in options:
+            lengths, times = np.unique([top, *o], return_counts=True)
+            q = int((left[lengths] // times).min())
+            yield lengths, times, q, q * (self.size - top - sum(o))
 
     def run(self, counts: dict[int, int]) -> list[tuple[Filling, int]]:
         total = sum(n * k for n, k in counts.items())
         self.best = best_fit(counts, self.size)
         self.bins = sum(k for _, k in self.best)
-        least = max(-(-total // self.size), sum(k for n, k in counts.items() if 2 * n > self.size))
-        start = np.zeros(self.size + 1, "i8")
+        self.least = max(-(-total // self.size), sum(k for n, k in counts.items() if 2 * n > self.size))
+        left = np.zeros(self.size + 1, "i8")
         for n, k in counts.items():
-            start[n] = k
-        # a state: what is left, the fillings so far, their bins, their waste, how often it left the first choice
-        stack, seen = [(start, (), 0, 0)], 0
-        while stack and self.bins > least and seen < self.nodes:
-            left, chain, bins, waste = stack.pop()
-            seen += 1
-            # a better solution wastes at most this much in all its bins together
-            if waste > (self.bins - 1) * self.size - total:
+            left[n] = k
+        # one frame of untried fillings for each step taken, and one for the next; `left` is undone on the way back
+        chain: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+        frames, bins, waste, seen = [self.fillings(left) if total else iter(())], 0, 0, 0
+        while frames and self.bins > self.least and seen < self.nodes:
+            step = next(frames[-1], None)
+            if step is None:
+                frames.pop()
+                if chain:
+                    lengths, times, q, lost = chain.pop()
+                    left[lengths] += q * times
+                    bins, waste = bins - q, waste - lost
                 continue
-            there = np.flatnonzero(left)
-            if not len(there):
-                self.bins, self.best = bins, []
-                while chain:
-                    step, chain = chain
-                    self.best.append(step)
-                continue
-            top = int(there[-1])
-            left[top] -= 1
-            options = completions(left, self.size - top, self.width, self.steps)
-            left[top] += 1
-            after = []
-            for o in options:
-                lengths, times = np.unique([top, *o], return_counts=True)
-                q = int((left[lengths] // times).min())
-                rest = left.copy()
-                rest[lengths] -= q * times
-                filling = tuple((int(n), int(t)) for n, t in zip(lengths[::-1], times[::-1]))
-                after.append((rest, ((filling, q), chain), bins + q, waste + q * (self.size - top - sum(o))))
-            # the stack holds what was not the first choice; with many lengths only the last ones are returned to
-            stack = [*stack[-500:], *after[::-1]]
+            lengths, times, q, lost = step
+            left[lengths] -= q * times
+            chain.append(step)
+            bins, waste, seen = bins + q, waste + lost, seen + 1
+            # a better solution wastes at most this much in all its bins together
+            more = waste <= (self.bins - 1) * self.size - total
+            if more and not left.any():
+                self.bins = bins
+                self.best = [(tuple((int(n), int(t)) for n, t in zip(ls[::-1], ts[::-1])), k) for ls, ts, k, _ in chain]
+                more = False
+            frames.append(self.fillings(left) if more else iter(()))
         return self.best
 
 
@@ -189,15 +199,18 @@ def pieces(docs: DataFrame, path: str, end: int = 1, size: int = 4096, id_col: s
 
 
 def pack(docs: DataFrame, path: str, end: int = 1, size: int = 4096, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, nodes: int = 20_000, group: int = 50_000) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]), one row for each piece.
+    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset, n_sequences, least_sequences), one row for
+    each piece.
 
     Null text is empty: its document is the end id alone. Repeated rows are packed each on its own; null ids stay
     null; other columns are ignored; an empty table gives no rows. keep_ids adds the ids, little-endian unsigned
     32-bit. nodes bounds the search, not the rows: the best solution so far, at worst best-fit decreasing, holds all.
+    n_sequences is what it uses, least_sequences a lower bound of any packing: where they are equal none is better.
     """
     cut = materialize(pieces(docs, path, end, size, id_col, text_col, keep_ids), "pieces")
     counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `size` rows
-    plan = layout(Search(size, nodes).run(counts))
+    search = Search(size, nodes)
+    plan = layout(search.run(counts))
     spark = docs.sparkSession
     at = spark.sparkContext.broadcast(plan)
     salts = max(1, -(-max(counts.values(), default=1) // group))
@@ -218,4 +231,5 @@ def pack(docs: DataFrame, path: str, end: int = 1, size: int = 4096, id_col: str
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), *placed], [*names, "sequence_id", "offset"])
 
     kinds = {f.name: f.dataType.simpleString() for f in ready.schema.fields}
-    return ready.mapInArrow(place, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", sequence_id long, `offset` long")
+    placed = ready.mapInArrow(place, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", sequence_id long, `offset` long")
+    return placed.select("*", F.lit(search.bins).cast("long").alias("n_sequences"), F.lit(search.least).cast("long").alias("least_sequences"))
