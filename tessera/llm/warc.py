@@ -21,6 +21,7 @@ from .common import hot_join, materialize
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 STEP = 1 << 16
+HEAD = 1 << 22  # a head beyond this is no record
 KINDS = "page_id {}, payload_bytes long, payload_digest string, record_type string, refers_to {}, target_uri string"
 
 
@@ -57,43 +58,77 @@ def fields(lines: list[str]) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
-def members(chunks: Iterable[bytes]) -> Iterator[bytes]:
-    """Each gzip member's bytes, decompressed step by step; a broken or cut member is a ValueError."""
-    inflate, parts, open_ = zlib.decompressobj(31), [], False
+def inflated(chunks: Iterable[bytes]) -> Iterator[tuple[bytes, bool]]:
+    """(bytes, whether a gzip member ends with them), decompressed in steps of at most STEP bytes, whatever a member
+    holds; a broken or cut member is a ValueError."""
+    inflate, open_ = zlib.decompressobj(31), False
     for chunk in chunks:
         while chunk:
             open_ = True
             try:
-                parts.append(inflate.decompress(chunk))
+                part = inflate.decompress(chunk, STEP)
             except zlib.error as e:
                 raise ValueError(f"broken gzip member: {e}") from e
-            chunk = b""
+            yield part, inflate.eof
             if inflate.eof:
                 chunk = inflate.unused_data
-                yield b"".join(parts)
-                inflate, parts, open_ = zlib.decompressobj(31), [], False
+                inflate, open_ = zlib.decompressobj(31), False
+            else:
+                chunk = inflate.unconsumed_tail
     if open_:
         raise ValueError("the archive ends within a gzip member")
 
 
-def records(chunks: Iterable[bytes]) -> Iterator[Record]:
-    """The records of an archive in order. Framing is by Content-Length; block digests, and payload digests of
-    responses, are verified; what does not hold is a ValueError."""
-    for data in members(chunks):
-        head, mark, rest = data.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8").split("\r\n")
-        if not mark or not lines[0].startswith("WARC/"):
+class Frame:
+    """A record as it is read: its head up to the empty line, then the block of Content-Length bytes and the closing
+    line ends; a member that goes on beyond these is refused before more of it is inflated."""
+
+    def __init__(self) -> None:
+        self.held, self.said, self.size = bytearray(), None, 0
+        self.sha = hashlib.sha1()
+
+    def feed(self, part: bytes) -> None:
+        begin = max(len(self.held) - 3, 0)
+        self.held += part
+        if self.said is None:
+            at = self.held.find(b"\r\n\r\n", begin)
+            if not self.held.startswith(b"WARC/"[: len(self.held)]) or at < 0 and len(self.held) > HEAD:
+                raise ValueError("no WARC record at the start of a member")
+            if at < 0:
+                return
+            self.said = fields(self.held[:at].decode("utf-8").split("\r\n")[1:])
+            self.size = int(self.said["content-length"])
+            del self.held[: at + 4]
+            part = bytes(self.held)
+        before = len(self.held) - len(part)
+        if before < self.size:
+            self.sha.update(memoryview(part)[: self.size - before])
+        if len(self.held) > self.size + 4:
+            raise ValueError(f"a record of {self.size} bytes is framed by more")
+
+    def record(self) -> Record:
+        if self.said is None:
             raise ValueError("no WARC record at the start of a member")
-        said = fields(lines[1:])
-        n = int(said["content-length"])
-        if rest[n:] != b"\r\n\r\n":
-            raise ValueError(f"a record of {n} bytes is framed by {len(rest)}")
-        r = Record(said, rest[:n])
-        if digest(r.block) != said.get("warc-block-digest", digest(r.block)):
+        if self.held[self.size :] != b"\r\n\r\n":
+            raise ValueError(f"a record of {self.size} bytes is framed by {len(self.held)}")
+        found = "sha1:" + base64.b32encode(self.sha.digest()).decode()
+        if found != self.said.get("warc-block-digest", found):
             raise ValueError("the block's digest differs")
-        if said["warc-type"] == "response" and digest(r.http[1]) != said.get("warc-payload-digest", digest(r.http[1])):
+        r = Record(self.said, bytes(memoryview(self.held)[: self.size]))
+        if self.said["warc-type"] == "response" and "warc-payload-digest" in self.said and digest(r.http[1]) != self.said["warc-payload-digest"]:
             raise ValueError("the payload's digest differs")
-        yield r
+        return r
+
+
+def records(chunks: Iterable[bytes]) -> Iterator[Record]:
+    """The records of an archive in order. Framing is by Content-Length; block digests, and payload digests of
+    responses, are verified; what does not hold is a ValueError. A record is held whole, nothing beyond it."""
+    frame = Frame()
+    for part, last in inflated(chunks):
+        frame.feed(part)
+        if last:
+            yield frame.record()
+            frame = Frame()
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, archive_bytes: int = 1 << 20) -> DataFrame:
