@@ -15,12 +15,15 @@ __all__ = ["shared_dir", "delete_at_exit", "materialize", "discard", "free_shuff
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a local
+    master (tests), and an error on a cluster, whose executors would not see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     have = spark.sparkContext.getCheckpointDir()
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         have = spark.sparkContext.getCheckpointDir()
     return have.rstrip("/")
