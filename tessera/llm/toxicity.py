@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The index holds a bounded, hash-ordered sample of labelled training rows (`per_class` of each label). Terms are words
-and word beginnings whose counts differ between the labels (chi-square at least `chi`, near copies counted once); a row's vector is its terms'
+The index holds a bounded sample of labelled training rows, those whose ids hash lowest (`per_class` of each label,
+`sample_bytes` of text in all). Terms are all words and word beginnings whose counts in the sample differ between the
+labels (chi-square at least `chi`, near copies counted once; however many they are); a row's vector is its terms'
 TF-IDF at length 1. Equal vectors are one entry with the counts of both labels. Entries are ordered so that alike ones
 share a block, and each block keeps the greatest weight of every term in it: a document's terms times these bound
 the cosine with any entry of the block, blocks are visited by falling bound, and the search ends, exactly, when the
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, with_row
+from .common import discard, fold_of, materialize, with_row
 from .shingles import Hashes, shingle_set
 
 BLANKS = str.maketrans("\t\n\r", "   ")
@@ -79,7 +80,7 @@ def distinct(texts: list[str], k: int = 4) -> list[int]:
 class Index:
     """Entries with counts of both labels, and postings by block."""
 
-    def __init__(self, texts: list[str], toxic: list[int], ids: list, weight: tuple[float, float], chi: float, most_terms: int, k: int):
+    def __init__(self, texts: list[str], toxic: list[int], ids: list, weight: tuple[float, float], chi: float, k: int):
         self.k, self.weight = k, weight
         n = len(texts)
         df: tuple[Counter, Counter] = (Counter(), Counter())
@@ -103,7 +104,7 @@ class Index:
                     x = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (c * (n - c) * n1 * n0)
                     if x >= chi:
                         good.append((-x, t))
-        names = [t for _, t in sorted(good)[:most_terms]]
+        names = [t for _, t in sorted(good)]
         self.number = {t: i for i, t in enumerate(names)}
         self.idf = np.array([np.log((n + 1) / (df[0][t] + df[1][t] + 1)) + 1 for t in names], "f8")
         self.terms = Terms(self.number)
@@ -212,17 +213,41 @@ class Index:
         return got
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = 3000, chi: float = 20.0, most_terms: int = 4096, k: int = 15, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """An index of at most per_class rows of either label, those whose ids hash lowest; labels: (doc_id, toxic)."""
+def lowest(rows: DataFrame, many: int, most: int) -> list[tuple]:
+    """(doc_id, toxic, hash) of the `most` rows whose ids hash lowest. A bound on the hash lets about twice as many
+    rows reach the driver, whatever the table's size and number of tasks."""
+    share = (2 * most + 200) / max(many, 1)
+    while True:
+        h = F.xxhash64("doc_id")
+        near = rows.select("doc_id", "toxic", h.alias("h"))
+        if share < 1:
+            near = near.where(F.col("h") <= int(share * 2**64) - 2**63)
+        got = sorted((tuple(r) for r in near.collect()), key=lambda r: (r[2], r[0]))
+        if len(got) >= most or share >= 1:
+            return got[:most]
+        share *= 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = 3000, sample_bytes: int = 64 << 20, chi: float = 20.0, k: int = 15, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """An index of at most per_class rows of either label, those whose ids hash lowest, as far as sample_bytes of text
+    go; labels: (doc_id, toxic). Of repeated ids the greatest text is taken."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     train = rows.where(fold_of(F.col("doc_id"), folds) != held)
     many = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
-    pick = [train.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    sample = F.broadcast(pick[0].unionByName(pick[1]))  # 2 * per_class rows at most
-    got = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(sample, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    picked = [x for y in (0, 1) for x in lowest(train.where(F.col("toxic") == y), many.get(y, 0), per_class)]
+    sample = F.broadcast(docs.sparkSession.createDataFrame(picked, train.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).schema))  # 2 * per_class rows at most
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(sample, "doc_id").groupBy("doc_id", "toxic", "h").agg(F.max("text").alias("text"))
+    held = materialize(texts, "examples")
+    total, fit_in = 0, []
+    for r in sorted(held.select("doc_id", "h", F.octet_length("text").alias("n")).collect(), key=lambda r: (r.h, r.doc_id)):
+        if total + r.n <= sample_bytes:
+            total += r.n
+            fit_in.append(r.doc_id)
+    got = sorted(held.where(F.col("doc_id").isin(fit_in)).collect() if len(fit_in) < len(picked) else held.collect(), key=lambda r: r.doc_id)
+    discard(held)
     used = Counter(r.toxic for r in got)
     weight = tuple(many.get(y, 0) / used[y] if used[y] else 1.0 for y in (0, 1))
-    return Index([r.text for r in got], [r.toxic for r in got], [r.doc_id for r in got], weight, chi, most_terms, k)
+    return Index([r.text for r in got], [r.toxic for r in got], [r.doc_id for r in got], weight, chi, k)
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:

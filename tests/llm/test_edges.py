@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tessera.llm.queries")
 from tessera.llm import decontam, jaccard, jpeg, lm, media, packing, substring, token_counts, toxicity, url_filter, warc  # noqa: E402
@@ -127,6 +128,74 @@ def test_bin_completion_beats_best_fit():
         assert sum(k for _, k in plan) <= sum(k for _, k in packing.best_fit(dict(counts), 60))
 
 
+def test_packing_says_what_is_proven(spark):
+    g = random.Random(5)
+
+    def optimum(items, size):
+        best = [len(items)]
+
+        def put(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(bins)
+                return
+            for j in range(len(bins)):
+                if bins[j] >= items[i] and bins[j] not in bins[:j]:
+                    put(i + 1, [*bins[:j], bins[j] - items[i], *bins[j + 1 :]])
+            put(i + 1, [*bins, size - items[i]])
+
+        put(0, [])
+        return best[0]
+
+    for _ in range(150):
+        items = sorted((g.randint(1, 20) for _ in range(g.randint(0, 9))), reverse=True)
+        search = packing.Search(20)
+        search.run(dict(Counter(items)))
+        assert search.least <= optimum(items, 20) == search.bins, items
+    # many lengths, whose first choices do not fit at once: every state is undone on the way back
+    counts = dict(Counter(g.randint(200, 400) for _ in range(700)))
+    search = packing.Search(1000, nodes=3000)
+    used = Counter()
+    for filling, k in search.run(dict(counts)):
+        assert sum(n * t for n, t in filling) <= 1000
+        for n, t in filling:
+            used[n] += t * k
+    assert used == counts and search.least <= search.bins
+    r = packing.pack(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), vocabulary()).first()
+    assert (r.n_sequences, r.least_sequences) == (1, 1)
+
+
+def test_toxicity_sample_is_the_lowest_hashes(spark):
+    rows = spark.range(5000).selectExpr("id as doc_id", "0 as toxic")
+    want = [r.doc_id for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(40).collect()]
+    assert [x[0] for x in toxicity.lowest(rows, 5000, 40)] == want
+    # a count that is too large makes the first bound too low; it is raised until enough rows are there
+    assert [x[0] for x in toxicity.lowest(rows, 10**6, 40)] == want
+    assert len(toxicity.lowest(rows, 5000, 6000)) == 5000
+    docs = spark.createDataFrame([(i, " ".join([*(f"w{i}x{j}" for j in range(9)), "bad" if i % 2 else "good"])) for i in range(40)] + [(3, "a"), (1, "")], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    assert sum(map(sum, toxicity.fit(docs, labels, chi=1.0).count)) == len([i for i in range(40) if zlib.crc32(str(i).encode()) % 5])
+    assert sum(map(sum, toxicity.fit(docs, labels, chi=1.0, sample_bytes=200).count)) <= 5
+
+
+def test_warc_reader_is_stepwise():
+    import gzip
+
+    big = warc.record(1, "u", bytes(3 * warc.STEP))
+    parts = list(warc.inflated(big[i : i + 7] for i in range(0, len(big), 7)))
+    assert max(len(p) for p, _ in parts) <= warc.STEP and [e for _, e in parts].count(True) == 1
+    for step in (1, 3, 1 << 20):
+        two = big + warc.record(None, None, b"")
+        got = list(warc.records(two[i : i + step] for i in range(0, len(two), step)))
+        assert [len(r.http[1]) for r in got] == [3 * warc.STEP, 0]
+    head = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\n"
+    assert [r.block for r in warc.records([gzip.compress(head + b"abc\r\n\r\n")])] == [b"abc"]
+    for bad in (head + b"ab\r\n\r\n", head + b"abcd\r\n\r\n", head + bytes(10**6), b"HTTP/1.1\r\n\r\n", b"", head[:-2]):
+        with pytest.raises(ValueError):
+            list(warc.records([gzip.compress(bad)]))
+
+
 def test_lm(docs, none, rows):
     got = lm.score_texts(docs).collect()
     train = Counter()
@@ -436,7 +505,7 @@ def test_block_max_search_is_exact():
     g = random.Random(6)
     words = [f"t{i}" for i in range(40)]
     texts = [" ".join(g.choice(words[:25] if i % 2 else words[15:]) for _ in range(6)) for i in range(600)]
-    index = toxicity.Index(texts, [i % 2 for i in range(600)], list(range(600)), (1.0, 1.0), 3.0, 100, 7)
+    index = toxicity.Index(texts, [i % 2 for i in range(600)], list(range(600)), (1.0, 1.0), 3.0, 7)
     keys = sorted({index.terms.counts(t) for t in texts} - {()}, key=lambda key: (max((index.idf[t], t) for t, _ in key)[1], key))
     dense = np.zeros((len(keys), len(index.number)))
     for i, key in enumerate(keys):
@@ -460,7 +529,7 @@ def test_toxicity_scores_against_all_pairs(seed):
     words = [f"w{i}" for i in range(25)]
     made = [" ".join(rng.choices(words, [3 if (i < 8) == (y == 1) else 1 for i in range(25)], k=rng.randint(0, 6))) for y in (0, 1) for _ in range(90)]
     toxic = [0] * 90 + [1] * 90
-    index = toxicity.Index(made, toxic, list(range(180)), weight, 0.5, 100, k)
+    index = toxicity.Index(made, toxic, list(range(180)), weight, 0.5, k)
     idf = {t: index.idf[i] for t, i in index.number.items()}
 
     def vector(text):
