@@ -65,7 +65,7 @@ WORD = np.array([not bytes([i]).isspace() for i in range(256)])
 LONG = 256
 
 
-def slices(b: pa.RecordBatch, column: int, rows: int = 1000, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(b: pa.RecordBatch, column: int, rows: int = 1000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """b in pieces of at most `rows` rows, and of about `size` bytes of text in the column (one text at least)."""
     ends = buffers(b.column(column))[1]
     at = 0
