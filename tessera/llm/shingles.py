@@ -73,6 +73,8 @@ def slices(b: pa.RecordBatch, column: int, rows: int = 1000, size: int = 1 << 20
         stop = min(at + rows, max(int(np.searchsorted(ends, ends[at] + size, "right")) - 1, at + 1), b.num_rows)
         yield b.slice(at, stop - at)
         at = stop
+    # workers are kept for later tasks: pages that Arrow holds but does not use go back to the system
+    pa.default_memory_pool().release_unused()
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
