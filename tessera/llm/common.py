@@ -6,12 +6,13 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["shared_dir", "delete_at_exit", "materialize", "discard", "free_shuffles", "fold_of", "documents", "settled", "with_row", "hot_join", "chunked"]
+__all__ = ["shared_dir", "delete_at_exit", "materialize", "discard", "free_shuffles", "short_shuffles", "fold_of", "documents", "settled", "with_row", "hot_join", "chunked"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,19 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is run inside leaves no shuffle files once it has ended. Spark's cleaner alone would let them lie until it
+    comes to know that nothing refers to the plan, beside those of the next plan."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
@@ -44,7 +58,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: a short lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with short_shuffles(spark):
+        df.write.parquet(path)
     delete_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path

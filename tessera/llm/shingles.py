@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import xxhash
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 SHIFT = np.uint64(29)
+#: glibc's call that gives unused pages of the heap back; nothing is done where the C library has none.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
 
 
 class Hashes(dict):
@@ -73,8 +76,9 @@ def slices(b: pa.RecordBatch, column: int, rows: int = 1000, size: int = 1 << 20
         stop = min(at + rows, max(int(np.searchsorted(ends, ends[at] + size, "right")) - 1, at + 1), b.num_rows)
         yield b.slice(at, stop - at)
         at = stop
-    # workers are kept for later tasks: pages that Arrow holds but does not use go back to the system
+    # workers are kept for later tasks: pages that Arrow or the heap hold but do not use go back to the system
     pa.default_memory_pool().release_unused()
+    TRIM(0)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

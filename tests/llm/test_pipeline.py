@@ -2,6 +2,7 @@
 
 import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("tessera.llm.queries")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from tessera.llm import queries as Q  # noqa: E402
-from tessera.llm import toxicity  # noqa: E402
+from tessera.llm import common, toxicity  # noqa: E402
 from tessera.llm.common import documents, materialize, settled  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -133,6 +134,25 @@ def test_settled(spark, tmp_path):
     assert hasattr(settled(docs.repartition(3)), "_tessera_path")
 
 
+def test_shuffle_files_go_with_the_write(spark, monkeypatch):
+    """A written table leaves no shuffle files, whenever Spark's cleaner comes by; the setting is as before."""
+    monkeypatch.setattr(common, "free_shuffles", lambda spark: None)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    store, before = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.conf.get(key, None)
+
+    def shuffles():
+        files = store.getAllFiles()
+        return {f for i in range(files.size()) if (f := files.apply(i).getName()).startswith("shuffle_")}
+
+    had = shuffles()
+    out = materialize(spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).count(), "counts")
+    for _ in range(30):
+        if not (left := shuffles() - had):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 5000 and spark.conf.get(key, None) == before
+
+
 def test_one_planted_passage_is_dropped(spark, tmp_path):
     item = documents(spark, DATA, "benchmark").where("length(text) > 0").orderBy("item_id").first().text
     docs = spark.createDataFrame([(1, f"before it {item} after it", "en", "s", 0), (2, "no passage at all", "en", "s", 0)], documents(spark, DATA).schema)
