@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import timeit
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("tessera.llm.queries")
-from tessera.llm import decontam, jaccard, jpeg, lm, media, packing, substring, token_counts, toxicity, url_filter, warc  # noqa: E402
+from tessera.llm import decontam, jaccard, jpeg, lm, media, packing, substring, token_counts, tokens, toxicity, url_filter, warc  # noqa: E402
 from tessera.llm.queries import vocabulary  # noqa: E402
 
 SCHEMA = "doc_id long, text string, rid long, label string, n int, word string, score double, key string, c int, root int"
@@ -84,6 +85,15 @@ def test_token_counts_of_other_vocabularies(docs, rows):
         assert count(token_counts.count_tokens(docs, vocabulary(name)), "doc_id", "n_tokens") == Counter((i, size(t or "")) for i, t in rows)
 
 
+def test_cutting_text_that_is_not_ascii():
+    """At blanks only, as fast as text that is ASCII (each character was looked up)."""
+    cut = tokens.ids(vocabulary()).chunks
+    assert cut("é\ta\n\r b\u00a0c \u2028d\v") == ["é", "a", "", "", "b\u00a0c", "\u2028d\v"]
+    plain, other = ("ab c" * 50_000, "éb c" * 50_000)
+    took = [min(timeit.repeat(lambda t=t: cut(t), number=1, repeat=7)) for t in (plain, other)]
+    assert took[1] < 4 * took[0]
+
+
 def test_packing(docs, none, rows):
     from tokenizers import Tokenizer
 
