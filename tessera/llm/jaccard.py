@@ -11,13 +11,14 @@ texts hardly ever share a tile, and what is shuffled grows as the input does. Wi
 Components alone are asked for, so groups of near copies are not paired out. First each class of a tile is verified
 against the tile's hub, the class that shares the most tiles. The components of these links are labels; in tiles that
 still hold several, each class outside the most frequent label meets all classes of other labels, in salted blocks of
-`block` classes, and all pairs that pass the bounds are verified.
+`block` classes, and all pairs that pass the bounds are verified. There the bound is taken once more from signatures as
+long as the sets: 256 bits are all at random, and bound nothing, once sets may differ in about 100 elements.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import exp
 
@@ -32,6 +33,7 @@ from .shingles import mixed, shingle_sets, slices
 
 BITS = 256
 SIG = ["s0", "s1", "s2", "s3"]
+SMALL = 500_000
 
 
 def apart(total: int, percent: int) -> int:
@@ -88,6 +90,14 @@ def signatures(x: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return np.packbits(odd.astype("u1")).view("<i8").reshape(docs, BITS // 64)
 
 
+def long_signature(x: np.ndarray) -> np.ndarray:
+    """Parity of the number of a set's elements at each of as many places as it has elements, rounded up to a power of
+    two, 256 at least. The halves' difference is the signature of half the length."""
+    bits = max(BITS, 1 << (len(x) - 1).bit_length())
+    odd = np.bincount((x & np.uint64(bits - 1)).astype("i8"), minlength=bits) & 1
+    return np.packbits(odd.astype("u1")).view("<i8")
+
+
 def tile_keys(x: np.ndarray, doc: np.ndarray, n: np.ndarray, sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(document, key) of all tiles of sets that lie one after another in x, in order of documents."""
     at, keys = [], []
@@ -150,22 +160,37 @@ def may_link(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (bits <= a + b - 2 * need)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int, small: int = 500_000) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets link, by exact intersection of sorted arrays. The texts of up to
-    `small` classes (8 bytes a class) are picked by a broadcast of their numbers, of more by a shuffled join."""
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    ids = materialize(ids, "ids")
+def may_link_long(x: str, y: str, percent: int) -> Column:
+    """may_link by the long signatures (l) of the structs x and y; the longer of two lengths is folded, and what is still
+    of another length passes."""
+    differ = "aggregate(zip_with({}, {}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)".format
+    half = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (p, q) -> p ^ q)".format
+    a, b = f"{x}.l", f"{y}.l"
+    bits = f"CASE WHEN size({a}) = size({b}) THEN {differ(a, b)} WHEN size({a}) = 2 * size({b}) THEN {differ(half(a), b)} WHEN 2 * size({a}) = size({b}) THEN {differ(a, half(b))} ELSE 0 END"
+    return F.expr(f"{bits} <= {x}.n + {y}.n - 2 * (({percent} * ({x}.n + {y}.n) + {99 + percent}) div {100 + percent})")
+
+
+def arrays_of(rows: DataFrame, ids: DataFrame, k: int, of: Callable[[np.ndarray], np.ndarray], small: int = SMALL) -> DataFrame:
+    """(rid, x), `of` of the set of each text whose number is in ids. The texts of up to `small` classes (8 bytes a class)
+    are picked by a broadcast of their numbers, of more by a shuffled join."""
     picked = F.broadcast(ids) if ids.count() <= small else ids
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, 1):
-                x = [v.view("i8") for v in shingle_sets(part.column(1), k)]
+                x = [of(v) for v in shingle_sets(part.column(1), k)]
                 ends = np.cumsum([0, *map(len, x)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x), pa.int64()))], ["rid", "x"])
 
-    arrays = materialize(rows.select("rid", "text").join(picked, "rid", "left_semi").mapInArrow(sets, "rid long, x array<long>"), "arrays")
+    return materialize(rows.select("rid", "text").join(picked, "rid", "left_semi").mapInArrow(sets, "rid long, x array<long>"), "arrays")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int, small: int = SMALL) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose sets link, by exact intersection of sorted arrays."""
+    pairs = materialize(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+    ids = materialize(ids, "ids")
+    arrays = arrays_of(rows, ids, k, lambda x: x.view("i8"), small)
     discard(ids)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,14 +259,16 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     by_label = named.groupBy("tile", "label").agg(F.count("*").alias("c"))
     apart_ = by_label.groupBy("tile").agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.sum("c").alias("size"), F.count("*").alias("labels")).where("labels > 1")
     mixed_ = materialize(named.join(apart_.select("tile", "top", F.ceil(F.col("size") / block).alias("blocks")), "tile"), "mixed")
-    held = mixed_.join(info.select("rid", F.struct("n", *SIG).alias("i")), "rid")
+    ids = materialize(mixed_.select("rid").distinct(), "ids")
+    signed = arrays_of(rows, ids, k, long_signature)
+    held = mixed_.join(info.join(signed.withColumnRenamed("x", "l"), "rid").select("rid", F.struct("n", *SIG, "l").alias("i")), "rid")
     probes = held.where("label <> top").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("salt"), F.col("rid").alias("a"), F.col("label").alias("la"), F.col("i").alias("ia"))
     targets = held.select("tile", F.pmod(F.xxhash64("rid"), "blocks").cast("int").alias("salt"), F.col("rid").alias("b"), F.col("label").alias("lb"), F.col("i").alias("ib"))
-    met = probes.join(targets, (probes.tile == targets.tile) & (probes.salt == targets.salt) & (F.col("la") != F.col("lb")) & may_link("ia", "ib", percent))
+    met = probes.join(targets, (probes.tile == targets.tile) & (probes.salt == targets.salt) & (F.col("la") != F.col("lb")) & may_link("ia", "ib", percent) & may_link_long("ia", "ib", percent))
     links = verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows, k, percent)
     if not links.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-    for t in (others, info, mixed_, links):
+    for t in (others, info, ids, signed, mixed_, links):
         discard(t)
 
     whole = classes.join(roots, classes.rep == roots.node, "left").select("key", "least", "copies", F.coalesce("root", "rep").alias("root"))

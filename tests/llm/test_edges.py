@@ -359,6 +359,48 @@ def test_jaccard_of_many_near_copies(spark, tmp_path):
     assert got == {i: find(i) for i in sets}
 
 
+def test_jaccard_of_long_texts_that_do_not_link(spark, tmp_path, monkeypatch):
+    """Versions of one long text that share passages but do not link: few pairs of them get as far as the exact check,
+    though the text holds more shingles than short signatures have bits; the two that link do."""
+    g = random.Random(11)
+    base = [f"w{j}" for j in range(1500)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(90):
+            w[g.randrange(1500)] = f"x{g.randint(0, 10**9)}"
+        rows.append((i, " ".join(w[: 1500 - 10 * (i % 7)])))
+    near = rows[17][1].split()
+    rows += [(60, " ".join(near[:-3])), (61, " ".join([*near[:700], "y", *near[701:]])), (62, " ".join(base[:1025])), (63, " ".join(base[:1030]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs, pairs, verify = spark.read.parquet(str(tmp_path / "d")), [], jaccard.verified
+
+    def counted(some, *a):
+        pairs.append(some.count())
+        return verify(some, *a)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {i: 17 if i in (17, 60, 61) else 62 if i == 63 else i for i in range(64)}
+    assert sum(pairs[1:]) < 100  # of 60 * 59 / 2
+
+
+@pytest.mark.parametrize("n", [1, 255, 257, 1000, 1030])
+def test_long_signatures_bound_the_overlap(spark, n):
+    """Every pair of sets that links passes, also where the signatures' lengths differ."""
+    g = np.random.default_rng(n)
+    a = g.integers(0, 2**63, n).astype("u8")
+    rows = []
+    for gone in range(0, max(n // 6, 1), max(n // 40, 1)):
+        for more in range(0, max(n // 6, 1), max(n // 40, 1)):
+            b = np.concatenate((a[gone:], g.integers(0, 2**63, more).astype("u8")))
+            link = 100 * (n - gone) >= 85 * (n + more)
+            rows.append((link, *((len(x), jaccard.long_signature(x).tolist()) for x in (a, b))))
+    got = spark.createDataFrame(rows, "link boolean, x struct<n: long, l: array<long>>, y struct<n: long, l: array<long>>")
+    assert got.where("link").count() > 0
+    assert got.where(F.col("link") & ~F.coalesce(jaccard.may_link_long("x", "y", 85), F.lit(False))).count() == 0
+
+
 def brute_repeats(rows, size=20):
     seen, out = set(), []
     for i, t in rows:
