@@ -11,8 +11,11 @@ texts hardly ever share a tile, and what is shuffled grows as the input does. Wi
 Components alone are asked for, so groups of near copies are not paired out. First each class of a tile is verified
 against the tile's hub, the class that shares the most tiles. The components of these links are labels; in tiles that
 still hold several, each class outside the most frequent label meets all classes of other labels, in salted blocks of
-`block` classes, and all pairs that pass the bounds are verified. There the bound is taken once more from signatures as
-long as the sets: 256 bits are all at random, and bound nothing, once sets may differ in about 100 elements.
+`block` by `block` classes, and all pairs that pass the bounds are verified. Near copies share many tiles of one hub;
+where that is less to compare and to move, the tiles of a hub are one group in which a pair meets once. There the bound is
+taken once more from signatures as long as the sets: 256 bits are all at random, and bound nothing, once sets may differ
+in about 100 elements. Signatures let pass what differs in a few elements too many, which in a group of near copies may be
+most pairs, so the last bound is the overlap of the sets' elements themselves, by their lower 32 bits.
 """
 
 from __future__ import annotations
@@ -170,19 +173,32 @@ def may_link_long(x: str, y: str, percent: int) -> Column:
     return F.expr(f"{bits} <= {x}.n + {y}.n - 2 * (({percent} * ({x}.n + {y}.n) + {99 + percent}) div {100 + percent})")
 
 
-def arrays_of(rows: DataFrame, ids: DataFrame, k: int, of: Callable[[np.ndarray], np.ndarray], small: int = SMALL) -> DataFrame:
-    """(rid, x), `of` of the set of each text whose number is in ids. The texts of up to `small` classes (8 bytes a class)
-    are picked by a broadcast of their numbers, of more by a shuffled join."""
+def may_link_whole(x: str, y: str, percent: int) -> Column:
+    """may_link by the lower halves (e) of the elements of the structs x and y. Elements of x without an equal half in y
+    are not in y; halves that meet by chance only raise the bound."""
+    return F.expr(f"{100 + percent} * ({x}.n - size(array_except({x}.e, {y}.e))) >= {percent} * ({x}.n + {y}.n)")
+
+
+def lower_halves(x: np.ndarray) -> np.ndarray:
+    return x.astype("u4").view("i4")
+
+
+def arrays_of(rows: DataFrame, ids: DataFrame, k: int, of: dict[str, Callable[[np.ndarray], np.ndarray]], small: int = SMALL) -> DataFrame:
+    """(rid, and an array for each name in `of`), made of the set of each text whose number is in ids. The texts of up to
+    `small` classes (8 bytes a class) are picked by a broadcast of their numbers, of more by a shuffled join."""
+    kinds = {name: {8: "long", 4: "int"}[make(np.zeros(1, "u8")).itemsize] for name, make in of.items()}
     picked = F.broadcast(ids) if ids.count() <= small else ids
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, 1):
-                x = [of(v) for v in shingle_sets(part.column(1), k)]
-                ends = np.cumsum([0, *map(len, x)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x), pa.int64()))], ["rid", "x"])
+                each, columns = shingle_sets(part.column(1), k), [part.column(0)]
+                for make in of.values():
+                    x = [make(v) for v in each]
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))))
+                yield pa.RecordBatch.from_arrays(columns, ["rid", *of])
 
-    return materialize(rows.select("rid", "text").join(picked, "rid", "left_semi").mapInArrow(sets, "rid long, x array<long>"), "arrays")
+    return materialize(rows.select("rid", "text").join(picked, "rid", "left_semi").mapInArrow(sets, "rid long, " + ", ".join(f"{name} array<{kind}>" for name, kind in kinds.items())), "arrays")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int, small: int = SMALL) -> DataFrame:
@@ -190,7 +206,7 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int, small: int
     pairs = materialize(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     ids = materialize(ids, "ids")
-    arrays = arrays_of(rows, ids, k, lambda x: x.view("i8"), small)
+    arrays = arrays_of(rows, ids, k, {"x": lambda x: x.view("i8")}, small)
     discard(ids)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +228,15 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int, small: int
     return links
 
 
+def labelled(rows: DataFrame, *by: str) -> DataFrame:
+    """For each group its most frequent label (top), its size, its number of labels and of rows outside the top label, and
+    what it costs: the pairs to compare and the elements to move."""
+    each = rows.groupBy(*by, "label").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy(*by)
+    found = each.agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("size"), F.count("*").alias("labels"), F.sum("n").alias("n"))
+    found = found.select(*by, F.col("most.label").alias("top"), "size", (F.col("size") - F.col("most.c")).alias("outside"), "labels", "n")
+    return found.withColumn("cost", F.col("size") * F.col("outside") + F.col("n")).drop("n")
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 1000) -> DataFrame:
     """(rid, doc_id, n_shingles, component_id, root), one row for each row of docs; rid is the row's number in the
     table, root that of a row which stands for the component.
@@ -255,20 +280,31 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
 
     # hubs are done; where the others of a tile have several labels, the classes outside the most frequent one meet all
     # classes of other labels
-    named = others.where("size > 2").select("tile", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("tile", "rid", F.coalesce("root", "rid").alias("label"))
-    by_label = named.groupBy("tile", "label").agg(F.count("*").alias("c"))
-    apart_ = by_label.groupBy("tile").agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.sum("c").alias("size"), F.count("*").alias("labels")).where("labels > 1")
-    mixed_ = materialize(named.join(apart_.select("tile", "top", F.ceil(F.col("size") / block).alias("blocks")), "tile"), "mixed")
-    ids = materialize(mixed_.select("rid").distinct(), "ids")
-    signed = arrays_of(rows, ids, k, long_signature)
-    held = mixed_.join(info.join(signed.withColumnRenamed("x", "l"), "rid").select("rid", F.struct("n", *SIG, "l").alias("i")), "rid")
-    probes = held.where("label <> top").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("salt"), F.col("rid").alias("a"), F.col("label").alias("la"), F.col("i").alias("ia"))
-    targets = held.select("tile", F.pmod(F.xxhash64("rid"), "blocks").cast("int").alias("salt"), F.col("rid").alias("b"), F.col("label").alias("lb"), F.col("i").alias("ib"))
-    met = probes.join(targets, (probes.tile == targets.tile) & (probes.salt == targets.salt) & (F.col("la") != F.col("lb")) & may_link("ia", "ib", percent) & may_link_long("ia", "ib", percent))
+    named = others.where("size > 2").select("tile", F.col("a").alias("hub"), "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").join(info.select("rid", "n"), "rid").select("tile", "hub", "rid", "n", F.coalesce("root", "rid").alias("label"))
+    tiles = materialize(labelled(named, "tile", "hub").where("labels > 1"), "tiles")
+    mixed_ = materialize(named.join(tiles.select("tile"), "tile", "left_semi"), "mixed")
+    groups = materialize(mixed_.select("hub", "rid", "n", "label").distinct(), "groups")
+    hubs = materialize(labelled(groups, "hub").withColumnRenamed("cost", "once").join(tiles.groupBy("hub").agg(F.sum("cost").alias("each")), "hub"), "hubs")
+    # (key, rid, label, top, size, outside): the tiles of a hub one by one, or as one group where that costs less
+    shape = ["rid", "label", "top", "size", "outside"]
+    by_tile = mixed_.join(tiles.join(hubs.where("each <= once"), "hub", "left_semi").drop("hub"), "tile").select(F.col("tile").alias("key"), *shape)
+    by_hub = hot_join(groups, hubs.where("once < each").select("hub", "top", "size", "outside"), "hub", "size", groups.count(), "inner").select(F.col("hub").alias("key"), *shape)
+    asked = materialize(by_tile.unionByName(by_hub).withColumn("blocks", F.ceil(F.col("size") / block)).withColumn("rounds", F.ceil(F.col("outside") / block)).drop("size", "outside"), "asked")
+    ids = materialize(groups.select("rid").distinct(), "ids")
+    signed = arrays_of(rows, ids, k, {"l": long_signature, "e": lower_halves})
+    for t in (others, tiles, mixed_, groups, hubs):
+        discard(t)
+    held = asked.join(info.join(signed, "rid").select("rid", F.struct("n", *SIG, "l", "e").alias("i")), "rid")
+    # a probe meets the targets of all blocks in its round; two that both lie outside the most frequent label meet once
+    salt, count = F.xxhash64("rid"), lambda c: F.sequence(F.lit(0), F.col(c).cast("int") - 1)
+    probes = held.where("label <> top").withColumn("block", F.explode(count("blocks"))).select("key", (F.pmod(salt, "rounds") * F.col("blocks") + F.col("block")).alias("salt"), F.col("rid").alias("a"), F.col("label").alias("la"), F.col("i").alias("ia"))
+    targets = held.withColumn("round", F.explode(count("rounds"))).select("key", (F.col("round") * F.col("blocks") + F.pmod(salt, "blocks")).alias("salt"), F.col("rid").alias("b"), F.col("label").alias("lb"), (F.col("label") == F.col("top")).alias("inside"), F.col("i").alias("ib"))
+    new = (F.col("la") != F.col("lb")) & (F.col("inside") | (F.col("a") < F.col("b")))
+    met = probes.join(targets, (probes.key == targets.key) & (probes.salt == targets.salt) & new & may_link("ia", "ib", percent) & may_link_long("ia", "ib", percent) & may_link_whole("ia", "ib", percent))
     links = verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows, k, percent)
     if not links.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-    for t in (others, info, ids, signed, mixed_, links):
+    for t in (info, ids, signed, asked, links):
         discard(t)
 
     whole = classes.join(roots, classes.rep == roots.node, "left").select("key", "least", "copies", F.coalesce("root", "rep").alias("root"))

@@ -401,6 +401,70 @@ def test_long_signatures_bound_the_overlap(spark, n):
     assert got.where(F.col("link") & ~F.coalesce(jaccard.may_link_long("x", "y", 85), F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize("block", [1000, 7])
+def test_jaccard_of_copies_just_too_far_apart(spark, tmp_path, monkeypatch, block):
+    """Copies that differ in 30 shingles where 28 may: in a group of them no pair but the links gets as far as the exact
+    check, and a pair meets once, however many tiles it shares."""
+    g = random.Random(5)
+    base, rows = [f"w{j}" for j in range(130)], []
+    for i in range(120):
+        w = list(base)
+        for p in g.sample(range(6, 61, 6), 1) if i % 2 else g.sample(range(66, 121, 6), 2):
+            w[p] = f"x{g.randint(0, 10**9)}"
+        rows.append((i, " ".join(w)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    pairs, sizes, verify, write = [], {}, jaccard.verified, jaccard.materialize
+
+    def counted(some, *a):
+        pairs.append(some.count())
+        return verify(some, *a)
+
+    def written(some, name):
+        out = write(some, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    monkeypatch.setattr(jaccard, "materialize", written)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.read.parquet(str(tmp_path / "d")), k=5, percent=80, block=block).collect()}
+    sets = {i: frozenset(tuple(t.split()[j : j + 5]) for j in range(126)) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+                links += a % 2 == b % 2 == 0
+    assert got == {i: find(i) for i in sets}
+    assert sum(pairs[1:]) <= links < 100  # of 60 * 60 that differ in 30
+    assert 4 * sizes["asked"] < sizes["mixed"]
+
+
+@pytest.mark.parametrize("n", [1, 20, 255, 1000])
+def test_whole_sets_bound_the_overlap(spark, n):
+    """Exactly the pairs that link pass, whichever is the larger; halves that are equal by chance only let more pass."""
+    g = np.random.default_rng(n)
+    a = g.integers(0, 2**63, n).astype("u8")
+    rows = []
+    for gone in range(0, max(n // 6, 1), max(n // 40, 1)):
+        for more in range(0, max(n // 6, 1), max(n // 40, 1)):
+            b = np.concatenate((a[gone:], g.integers(0, 2**63, more).astype("u8")))
+            link = 100 * (n - gone) >= 85 * (n + more)
+            rows.append((link, *((len(x), jaccard.lower_halves(x).tolist()) for x in (a, b))))
+    got = spark.createDataFrame(rows, "link boolean, x struct<n: long, e: array<int>>, y struct<n: long, e: array<int>>")
+    assert got.where("link").count() > 0
+    for x, y in ("xy", "yx"):
+        assert got.where(F.col("link") != jaccard.may_link_whole(x, y, 85)).count() == 0
+    twins = spark.createDataFrame([((2, [7, 7]), (2, [7, 8]))], "x struct<n: long, e: array<int>>, y struct<n: long, e: array<int>>")
+    assert twins.where(jaccard.may_link_whole("x", "y", 85)).count() == 1
+
+
 def brute_repeats(rows, size=20):
     seen, out = set(), []
     for i, t in rows:
