@@ -127,6 +127,27 @@ def shards(contexts: DataFrame, size: int) -> DataFrame:
     return contexts.mapInArrow(emit, "h long, c long, offs array<int>")
 
 
+def strip(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(rid, doc_id, n_words, n_removed, kept) of (rid, doc_id, text, starts): texts without the windows that begin at
+    starts, about a megabyte of text at a time."""
+    for part in (x for b in batches for x in slices(b, 2)):
+        words, gone, kept = [], [], []
+        for text, starts in zip(part.column(2), part.column(3)):
+            w = text.as_buffer().to_pybytes().split()
+            words.append(len(w))
+            at = starts.values.to_numpy() if starts.is_valid else ()
+            if len(at):
+                edge = np.bincount(at, minlength=len(w) + 1) - np.bincount(at + size, minlength=len(w) + 1)
+                stay = np.cumsum(edge[:-1]) == 0
+                gone.append(len(w) - int(stay.sum()))
+                w = [x for x, k in zip(w, stay.tolist()) if k]
+            else:
+                gone.append(0)
+            kept.append(b" ".join(w))
+        # the words were cut at ASCII white space alone, so what is joined is UTF-8 as before
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["rid", "doc_id", "n_words", "n_removed", "kept"])
+
+
 def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", shard: int = 2000) -> DataFrame:
     """(rid, doc_id, n_words, n_removed, kept), one row for each row of docs; rid is the row's number in the table.
 
@@ -190,26 +211,8 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 8, id_col: str =
     discard(seen)
     discard(held)
 
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for o in range(0, b.num_rows, 500):
-                part = b.slice(o, 500)
-                words, gone, kept = [], [], []
-                for text, starts_ in zip(part.column(2).to_pylist(), part.column(3)):
-                    w = text.encode().split()
-                    words.append(len(w))
-                    at = starts_.values.to_numpy() if starts_.is_valid else ()
-                    if len(at):
-                        edge = np.bincount(at, minlength=len(w) + 1) - np.bincount(at + size, minlength=len(w) + 1)
-                        stay = np.cumsum(edge[:-1]) == 0
-                        gone.append(len(w) - int(stay.sum()))
-                        w = [x for x, k in zip(w, stay.tolist()) if k]
-                    else:
-                        gone.append(0)
-                    kept.append(b" ".join(w).decode())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["rid", "doc_id", "n_words", "n_removed", "kept"])
-
-    return texts.select("rid", "doc_id", "text").join(spans, "rid", "left").mapInArrow(strip, f"rid long, doc_id {kind}, n_words long, n_removed long, kept string")
+    joined = texts.select("rid", "doc_id", "text").join(spans, "rid", "left")
+    return joined.mapInArrow(lambda batches: strip(batches, size), f"rid long, doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def sql(size: int = 20) -> str:

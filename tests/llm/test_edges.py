@@ -3,10 +3,12 @@
 import hashlib
 import random
 import timeit
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -493,6 +495,26 @@ def test_substring(docs, none):
     assert not [t for t in docs.sparkSession.catalog.listTables() if t.name.startswith("tessera")]
 
 
+def test_substring_strips_a_megabyte_at_a_time():
+    """What long texts of one batch take does not grow with their number."""
+    texts = [" ".join(f"é{(i * j) % 99991:08d}" for j in range(10_000)) for i in range(1, 101)]
+    starts = [[5, 9_000] if i % 3 == 0 else [] if i % 3 == 1 else None for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(range(100)), pa.array(texts), pa.array(starts, pa.list_(pa.int32()))], ["rid", "doc_id", "text", "starts"])
+    held, arrow, rows, most = pa.total_allocated_bytes(), 0, 0, 0
+    tracemalloc.start()
+    for out in substring.strip(iter([batch]), 20):
+        arrow, most = max(arrow, pa.total_allocated_bytes() - held), max(most, out.nbytes)
+        for i, n, gone, kept in zip(*(c.to_pylist() for c in out.columns[1:])):
+            w = texts[i].split()
+            want = w[:5] + w[25:9_000] + w[9_020:] if starts[i] else w
+            assert (n, gone, kept) == (10_000, 10_000 - len(want), " ".join(want))
+            rows += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 100 and batch.column(2).nbytes > 10 << 20
+    assert most < 2 << 20 and arrow < 4 << 20 and peak < 8 << 20
+
+
 def test_decontamination(spark, docs, none, rows):
     by_id = dict(rows)
     passage = by_id[3].split()[-30:]
