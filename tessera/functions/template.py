@@ -14,8 +14,10 @@ from ..rules import Rule
 from .crypto import hash_prefix, hmac_text
 from .normalize import SPACE, TEXT, normalize
 
-PART = re.compile(r"\{(first|second|last|prefix|suffix|digits|major|domain|hash:8|(?:head|tail):\d+)\}")
-KEYED = ("hash:8", "digits")
+PART = re.compile(r"\{(first|second|last|prefix|suffix|digits|major|domain|hash:8|hash:32|(?:head|tail):\d+)\}")
+#: 8 hexadecimal digits meet by chance among some ten thousand values; what is joined on takes 32.
+HASHED = {"hash:8": 8, "hash:32": 32}
+KEYED = (*HASHED, "digits")
 SPLIT = rf"(?U)[{SPACE}.\-]+"
 
 
@@ -27,8 +29,8 @@ def _piece(kind: str, v: Column, key: bytes | None) -> Column:
     if kind in KEYED:
         if key is None:
             raise ValueError("a pepper is needed for this template")
-        if kind == "hash:8":
-            return hash_prefix(key, v, 8)
+        if kind in HASHED:
+            return hash_prefix(key, v, HASHED[kind])
         n = F.length(F.regexp_replace(v, r"(?U)\D", ""))
         n = F.when(n == 0, 11).otherwise(n)
         return F.rpad(F.left(F.translate(hash_prefix(key, v, 16), "ABCDEF", "012345"), n), n, F.lit("0"))
@@ -75,8 +77,8 @@ def render_text(template: str, v: str, key: bytes | None = None) -> str:
         if kind in KEYED:
             if key is None:
                 raise ValueError("a pepper is needed for this template")
-            if kind == "hash:8":
-                return hmac_text(key, v, 8)
+            if kind in HASHED:
+                return hmac_text(key, v, HASHED[kind])
             n = sum(c.isdecimal() for c in v) or 11
             return "".join(str(int(c, 16) % 10) for c in hmac_text(key, v, 16))[:n].ljust(n, "0")
         name, _, number = kind.partition(":")
