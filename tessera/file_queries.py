@@ -18,7 +18,7 @@ from .functions.normalize import trace
 from .operators.masking import apply_rules, mask_table
 from .operators.text import mask_text
 from .plans.files import mask_folder
-from .queries import MIXED, PEOPLE, RULED, K, S, mask_sql, people, query, table
+from .queries import MIXED, NAMING, PEOPLE, RULED, K, S, mask_sql, people, query, table
 from .rules import BUILTIN, RuleSet, default_rules
 from .sources.documents import read_units
 from .sources.tables import new_excel, read_csv, read_excel, read_json, read_people, scan_excel, write_excel, write_folder, write_single
@@ -176,7 +176,7 @@ VARIED = f"CASE {K} % 4 WHEN 0 THEN '申请人：张三丰' WHEN 1 THEN 'no pers
 @query("name_scan_varied", f"SELECT {K} AS k, CASE {K} % 4 WHEN 0 THEN '申请人：张*' WHEN 1 THEN 'no person, order ' || {S(K)} WHEN 2 THEN '供应商：A*' ELSE '王* signed' END AS t FROM customer")
 def name_scan_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persons and companies by prefix and list in some rows, none in others."""
-    return mask_text(table(spark, sf_dir, "customer").select(F.col(K).alias("k"), F.expr(VARIED).alias("t")), "t", default_rules(), scan_names=True)
+    return mask_text(table(spark, sf_dir, "customer").select(F.col(K).alias("k"), F.expr(VARIED).alias("t")), "t", NAMING, scan_names=True)
 
 
 @query("normalize_trace", f"SELECT k, lower(account) AS v, lower(account) <> account AS changed FROM {CUSTOMERS}")

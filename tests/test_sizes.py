@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from tessera import queries
+from tessera import file_queries, queries  # noqa: F401  (registers its queries)
+from tessera.operators.text import mask_text
+from tessera.rules import default_rules
 
 
 @pytest.fixture
@@ -27,3 +29,11 @@ def test_pseudonyms_of_many_keys_stay_apart(same):
     meet = (96205, 155019)
     orders = [(i, k, "F") for i, k in enumerate(meet)] + [(9, -5, "O")]
     assert same("pseudo_join", customer=("c_custkey long", [(k,) for k in (*meet, 5)]), orders=("o_orderkey long, o_custkey long, o_orderstatus string", orders))
+
+
+@pytest.mark.parametrize("name", ["name_scan_prefix", "name_scan_varied"])
+def test_long_keys_are_no_phones(spark, same, name):
+    keys = [7, 99_999, 100_000, 123_457, 1_000_001, 13_800_000_001, 10**15 + 1, 10**17 + 1]
+    assert same(name, customer=("c_custkey long", [(k,) for k in keys]))
+    # the operator under the default rules takes them for phones, as the reference does
+    assert mask_text(spark.createDataFrame([("编号123457 王芳",)], "t string"), "t", default_rules(), scan_names=True).first().t == "编号123****457 王*"
