@@ -12,6 +12,7 @@ from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +53,83 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", infer_type
     return df
 
 
+#: Up to this size the content of a JSON file is looked at as a whole by the executors, many files at a time.
+SMALL = 256 << 10
+
+
+class Tokens:
+    """Jackson's tokens of a file of any store, whatever its size: the driver's JVM reads it as a stream, and no further
+    than it is asked to."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        raw = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+        try:
+            text = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(raw, "UTF-8"))
+            text.mark(1)
+            if text.read() != 0xFEFF:
+                text.reset()
+            kinds = jvm.com.fasterxml.jackson.core
+            self.tokens = kinds.JsonFactory().createParser(text)
+            self.tokens.enable(getattr(kinds, "JsonParser$Feature").ALLOW_NON_NUMERIC_NUMBERS)
+        except BaseException:
+            raw.close()
+            raise
+
+    def __enter__(self) -> Tokens:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.tokens.close()
+
+    def next(self) -> str | None:
+        got = self.tokens.nextToken()
+        return got and got.name()
+
+    def kind(self) -> str | None:
+        """by_kind() of the file."""
+        try:
+            first = self.next()
+            if first is None or first == "START_ARRAY":
+                return first and "root"
+            self.tokens.skipChildren()
+            return "lines" if self.next() else "root"
+        except Py4JJavaError as e:
+            if "JsonProcessingException" not in _causes(e):
+                raise
+            return "lines"
+
+    def names(self) -> list[str]:
+        """The names in the first object, in a root array or by itself; none if it is not whole."""
+        out = []
+        try:
+            first = self.next()
+            if first == "START_ARRAY":
+                first = self.next()
+            while first == "START_OBJECT" and self.next() == "FIELD_NAME":
+                out.append(self.tokens.currentName())
+                self.next()
+                self.tokens.skipChildren()
+        except Py4JJavaError as e:
+            if "JsonProcessingException" not in _causes(e):
+                raise
+            return []
+        return list(dict.fromkeys(out))
+
+
+def _causes(e: Py4JJavaError) -> list[str]:
+    """Simple names of the class of a Java exception and of those above it."""
+    kind, out = e.java_exception.getClass(), []
+    while kind is not None:
+        out.append(kind.getSimpleName())
+        kind = kind.getSuperclass()
+    return out
+
+
 def by_kind(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     """Paths of JSON files that one root value fills, and of those with a value on each line; blank files are in
-    neither."""
+    neither. Of large files no more is read than says so, and none of their content comes to Python."""
 
     @F.udf("string")
     def kind(content: bytes) -> str | None:
@@ -71,8 +146,12 @@ def by_kind(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
             return "lines"
         return "root" if end == len(text) else "lines"
 
-    found = spark.read.format("binaryFile").load(path).select("path", kind("content").alias("kind")).orderBy("path").collect()
-    return tuple([r.path for r in found if r.kind == k] for k in ("root", "lines"))
+    files = spark.read.format("binaryFile").load(path)
+    found = {r.path: r.kind for r in files.where(F.col("length") <= SMALL).select("path", kind("content").alias("kind")).collect()}
+    for r in files.where(F.col("length") > SMALL).select("path").collect():
+        with Tokens(spark, r.path) as t:
+            found[r.path] = t.kind()
+    return tuple([p for p in sorted(found) if found[p] == k] for k in ("root", "lines"))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -88,16 +167,19 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
         mixed = {c for c in kinds[0] if kinds[0][c] != kinds[1].get(c, kinds[0][c])}
         df, other = (d.select(*((F.col(f"`{c}`") if k[c] == "string" or c not in mixed else F.to_json(F.col(f"`{c}`"))).alias(c) for c in d.columns)) for (_, d), k in zip(parts, kinds))
         df = df.unionByName(other, allowMissingColumns=True)
-    multi = bool(roots)
     if df.columns and df.columns != ["_corrupt_record"] and not df.isEmpty():
         import json
 
-        head = spark.read.option("wholetext", multi).text(roots or by_line).first().value
-        try:
-            first, _ = json.JSONDecoder().raw_decode(head.lstrip().removeprefix("[").lstrip())
-            order = [c for c in first if c in df.columns]
-        except ValueError:
-            order = []
+        if roots:
+            with Tokens(spark, roots[0]) as t:
+                first = t.names()
+        else:
+            head = spark.read.text(by_line).first().value
+            try:
+                first, _ = json.JSONDecoder().raw_decode(head.lstrip())
+            except ValueError:
+                first = []
+        order = [c for c in first if c in df.columns]
         names = order + [c for c in df.columns if c not in order and c != "_corrupt_record"]
         kinds = dict(df.dtypes)
         return df.select(*((F.col(f"`{c}`") if kinds[c] == "string" else F.to_json(F.col(f"`{c}`"))).alias(c) for c in names))

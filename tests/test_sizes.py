@@ -1,11 +1,14 @@
 """What only large tables or files show, on small ones made for it."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 
 from tessera import file_queries, queries  # noqa: F401  (registers its queries)
 from tessera.operators.text import mask_text
 from tessera.rules import default_rules
+from tessera.sources import tables
 
 
 @pytest.fixture
@@ -37,3 +40,33 @@ def test_long_keys_are_no_phones(spark, same, name):
     assert same(name, customer=("c_custkey long", [(k,) for k in keys]))
     # the operator under the default rules takes them for phones, as the reference does
     assert mask_text(spark.createDataFrame([("编号123457 王芳",)], "t string"), "t", default_rules(), scan_names=True).first().t == "编号123****457 王*"
+
+
+#: A JSON file's text, and how it is to be read.
+JSON = {
+    "a": ('[{"b": 1, "a": {"x": [1]}}]', "root"), "b": ('{"a": 1}\n{"a": 2}\n', "lines"), "c": ('\ufeff {"z": "x\\u00e9",\n "a": NaN}\n', "root"), "d": (' \n\t\n', None), "e": ('{"a": 1', "lines"),
+    "f": ('{"a": 1} x', "lines"), "g": ('{a: 1}', "lines"), "h": ('\n\n{"a": "]["}\n', "root"), "i": ('{"a": 1}{"a": 2}', "lines"), "j": ('"text"', "root"), "k": ('{"a": 1,\n}\n{"a": 2}', "lines"), "l": ('\ufeff[', "root"),
+}
+
+
+def test_large_json_files_stay_out_of_python(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "SMALL", 0, raising=False)
+    want = {"root": [], "lines": []}
+    for n, (text, kind) in JSON.items():
+        (tmp_path / f"{n} x.json").write_text(text, "utf-8")
+        want.get(kind, []).append(f"{n} x.json")
+    (tmp_path / "m x.json").write_bytes(b'{"a": "\xff\xfe"}')
+    want["root"].append("m x.json")
+    read = tables.F.udf
+    monkeypatch.setattr(tables.F, "udf", lambda *a: (lambda f: read(*a)(lambda c: f(c) if not c else 1 / 0)))
+    assert {k: [Path(p).name for p in paths] for k, paths in zip(("root", "lines"), tables.by_kind(spark, str(tmp_path)))} == want
+    assert tables.read_json(spark, str(tmp_path / "a x.json")).columns == ["b", "a"]
+    assert tables.read_json(spark, str(tmp_path / "c x.json")).columns == ["z", "a"]
+
+
+def test_small_json_files_are_told_apart_alike(spark, tmp_path, monkeypatch):
+    for n, (text, _) in JSON.items():
+        (tmp_path / f"{n}.json").write_text(text, "utf-8")
+    small = tables.by_kind(spark, str(tmp_path))
+    monkeypatch.setattr(tables, "SMALL", 0, raising=False)
+    assert small == tables.by_kind(spark, str(tmp_path))
