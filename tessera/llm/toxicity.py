@@ -25,41 +25,37 @@ from pyspark.sql import functions as F
 from .common import discard, fold_of, materialize, with_row
 from .shingles import Hashes, shingle_set
 
-BLANKS = str.maketrans("\t\n\r", "   ")
+#: Terms are the words of a text in lower case, and the beginnings of the longer ones.
 LETTERS = re.compile(r"\w+")
 BEGIN = (4, 5)
 BLOCK = 64
 
 
-def terms(chunk: str) -> list[str]:
-    """Words of a chunk of text, and the beginnings of the longer ones."""
-    out = []
-    for w in LETTERS.findall(chunk.lower()):
-        out.append(w)
-        out += [w[:n] + "-" for n in BEGIN if len(w) > n]
-    return out
-
-
 class Terms(dict):
-    """chunk -> numbers of its known terms; filled by need, emptied at `most` chunks."""
+    """word -> numbers of its known terms; filled by need, emptied at `most` words."""
 
     def __init__(self, number: dict[str, int], most: int = 200_000):
         super().__init__()
         self.number, self.most = number, most
+        #: What a word with a known term begins with; few other words do.
+        self.starts = {t.removesuffix("-")[: min(BEGIN)] for t in number}
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        got = tuple(self.number[t] for t in terms(chunk) if t in self.number)
-        if len(chunk) <= 40:
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        got = tuple(self.number[t] for t in (word, *(word[:n] + "-" for n in BEGIN if len(word) > n)) if t in self.number)
+        if len(word) <= 40:
             if len(self) >= self.most:
                 self.clear()
-            self[chunk] = got
+            self[word] = got
         return got
 
     def counts(self, text: str) -> tuple[tuple[int, int], ...]:
         """(term, times) of a text, by term."""
-        seen: Counter = Counter()
-        for t in filter(None, map(self.__getitem__, text.translate(BLANKS).split(" "))):
-            seen.update(t)
+        seen: dict[int, int] = {}
+        starts, most = self.starts, min(BEGIN)
+        for w, n in Counter(LETTERS.findall(text.lower())).items():
+            if w[:most] in starts:
+                for t in self[w]:
+                    seen[t] = seen.get(t, 0) + n
         return tuple(sorted(seen.items()))
 
 
@@ -84,16 +80,10 @@ class Index:
         self.k, self.weight = k, weight
         n = len(texts)
         df: tuple[Counter, Counter] = (Counter(), Counter())
-        memo: dict[str, list[str]] = {}
         own = distinct(texts)
         for t, label in ((texts[i], toxic[i]) for i in own):
-            bag: set[str] = set()
-            for c in set(t.translate(BLANKS).split(" ")):
-                if (got := memo.get(c)) is None:
-                    got = memo[c] = terms(c)
-                bag.update(got)
-            df[label].update(bag)
-        memo.clear()
+            words = set(LETTERS.findall(t.lower()))
+            df[label].update(words.union(*({w[:n] + "-" for w in words if len(w) > n} for n in BEGIN)))
         n1 = sum(toxic[i] for i in own)
         n, n0, good = len(own), len(own) - n1, []
         if n0 and n1:
@@ -162,6 +152,11 @@ class Index:
                     at, w = post[t]
                     score[at] += x * w
             hit = np.flatnonzero(score)
+            # what is surely below the k-th best so far, or of the block, is not rounded and sorted
+            least = -best[-1][0] if len(best) == self.k else 0.0
+            if len(hit) > self.k:
+                least = max(least, float(np.partition(score[hit], -self.k)[-self.k]))
+            hit = hit[score[hit] >= least - 1e-11]
             best = sorted([*best, *((-round(float(s), 12), int(b) * BLOCK + int(i)) for i, s in zip(hit, score[hit]))])[: self.k]
         return [(-s, i) for s, i in best]
 
