@@ -54,12 +54,19 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
+#: How intermediate tables are written to a local folder: without Hadoop's checksum files (Parquet's pages have their own).
+#: With them each file costs five child processes that set its mode, without them two; between its start and exec such
+#: a child holds all pages of the executor's JVM, so that whoever adds up processes counts these twice. Other stores
+#: do not read these settings.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: a short lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     with short_shuffles(spark):
-        df.write.parquet(path)
+        df.write.options(**PLAIN).parquet(path)
     delete_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path

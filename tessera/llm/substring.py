@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import delete_at_exit, discard, free_shuffles, hot_join, materialize, shared_dir, with_row
+from .common import PLAIN, delete_at_exit, discard, free_shuffles, hot_join, materialize, shared_dir, with_row
 from .shingles import mixed, rolled, slices, word_hashes
 
 
@@ -173,7 +173,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 8, id_col: str =
     table = f"tessera_{uuid4().hex}"
     path = f"{shared_dir(spark)}/tessera/texts-{uuid4().hex}"
     joined = rows.join(places, "rid", "left").repartition(n, "rid")
-    joined.write.bucketBy(n, "rid").option("path", path).saveAsTable(table)
+    joined.write.options(**PLAIN).bucketBy(n, "rid").option("path", path).saveAsTable(table)
     texts = spark.table(table)
     # what is planned on it goes on reading the files; the catalog keeps no entry
     spark.sql(f"DROP TABLE {table}")

@@ -2,11 +2,12 @@
 
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
 pytest.importorskip("tessera.llm.queries")
-from tessera.llm import toxicity  # noqa: E402
+from tessera.llm import common, substring, toxicity  # noqa: E402
 
 
 def test_toxicity_looks_up_few_words():
@@ -31,3 +32,16 @@ def test_toxicity_looks_up_few_words():
     # words that begin like no known term cost no look
     looked.clear()
     assert known.counts(" ".join(f"q{i:05d}" for i in range(1000))) == () and not looked
+
+
+def test_intermediate_tables_have_no_checksum_files(spark, tmp_path, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, text if i % 2 else text[4:] + f" {i}") for i in range(40)], "doc_id long, text string")
+    for module in (common, substring):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: tmp_path.as_uri())
+    kept = common.materialize(docs, "docs")
+    assert sorted(kept.collect()) == sorted(docs.collect())
+    assert substring.remove_repeats(kept).where("n_removed > 0").count() == 39
+    files = {p.name for p in Path(tmp_path).rglob("*") if p.is_file()}
+    # such a file costs child processes that set its mode and that of the file it belongs to
+    assert any(n.startswith("part-") for n in files) and not [n for n in files if n.endswith(".crc")]
