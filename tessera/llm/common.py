@@ -6,13 +6,13 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager, nullcontext
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["shared_dir", "delete_at_exit", "materialize", "discard", "free_shuffles", "short_shuffles", "fold_of", "documents", "settled", "with_row", "hot_join", "chunked"]
+__all__ = ["shared_dir", "delete_at_exit", "materialize", "discard", "free_shuffles", "setting", "short_shuffles", "fold_of", "documents", "settled", "with_row", "hot_join", "chunked"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,18 +37,26 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 @contextmanager
-def short_shuffles(spark: SparkSession) -> Iterator[None]:
-    """What is run inside leaves no shuffle files once it has ended. Spark's cleaner alone would let them lie until it
-    comes to know that nothing refers to the plan, beside those of the next plan."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session that holds for what is run inside."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def short_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """What is run inside leaves no shuffle files once it has ended. Spark's cleaner alone would let them lie until it
+    comes to know that nothing refers to the plan, beside those of the next plan."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+#: How many rows of a Parquet file Spark decodes at once (4096 if nothing is said).
+BATCH = "spark.sql.parquet.columnarReaderBatchSize"
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
@@ -61,11 +69,13 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
 PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: a short lineage that survives lost executors."""
+def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: a short lineage that survives lost executors. batch:
+    rows of df's own Parquet input that a task decodes at once. They lie in one buffer; with long texts, 4096 of them are
+    tens of megabytes, which the JVM's heap must hold in one piece and grows for."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    with short_shuffles(spark):
+    with short_shuffles(spark), setting(spark, BATCH, str(batch)) if batch else nullcontext():
         df.write.options(**PLAIN).parquet(path)
     delete_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
